@@ -54,7 +54,7 @@ _MARKED = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"\w+")
 
-SHORT, LONG = 70, 200
+SHORT, LONG = 70, 120
 STOPS_LOW, STOPS_HIGH = 0.10, 0.20
 LINKS_HIGH = 0.35
 

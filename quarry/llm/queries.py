@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_extract, sharding, warc
+from . import chat, html_extract, jaccard, sharding, warc
 from .common import Scratch, read
 
 
@@ -22,6 +22,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumnRenamed("key", "doc_id")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"), Scratch(spark, "jaccard"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = F.lit("</s>[INST] ok [/INST]")
@@ -38,6 +42,7 @@ QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_warc": op2_warc,
     "op6_sharding": op6_sharding,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_chat_formatting": op8_chat_formatting,
 }
 
@@ -68,6 +73,25 @@ ORACLE_SQL = {
           CASE WHEN depth = 0 THEN '' ELSE substr(lpad(bin(h), 60, '0'), 1, depth) END AS shard,
           depth, CAST(0 AS BIGINT) AS page, CAST(shard_bytes AS BIGINT) AS shard_bytes
         FROM f WHERE n = 1""",
+    "op7_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+          FROM documents),
+        s AS (
+          SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS g
+          FROM w),
+        u AS (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM s),
+        c AS (SELECT *, count(*) OVER (PARTITION BY t) AS df FROM u),
+        o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY df, t) AS pos FROM c),
+        p AS (SELECT doc_id, n, t FROM o WHERE pos <= n - (75 * n + 99) // 100 + 1 AND df > 1),
+        k AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb FROM p x JOIN p y ON x.t = y.t AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n)),
+        e AS (SELECT k.a, k.b FROM k JOIN u x ON x.doc_id = k.a JOIN u y ON y.doc_id = k.b AND x.t = y.t
+              GROUP BY k.a, k.b, k.na, k.nb HAVING 100 * count(*) >= 75 * (k.na + k.nb - count(*))),
+        b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT b.b, r.c FROM r JOIN b ON r.doc_id = b.a WHERE r.c < b.b)
+        SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, m.c AS component_id
+        FROM s JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m ON s.doc_id = m.doc_id""",
     "op8_chat_formatting": r"""
         WITH c AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
