@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_extract, jaccard, sharding, warc
+from . import chat, embed_dedup, html_extract, jaccard, sharding, warc
 from .common import Scratch, read
 
 
@@ -38,12 +38,17 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(read(spark, sf_dir, "embeddings"), Scratch(spark, "embeddings"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_warc": op2_warc,
     "op6_sharding": op6_sharding,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_chat_formatting": op8_chat_formatting,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLE_SQL = {
