@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, prepare, text_or_empty
 
 VERSION = b"WARC/1.1\r\n"
-MARK = b"\r\n\r\n" + VERSION
+#: Record mark of the line reader.  It must not repeat its own beginning: the reader looks back no further than its buffer.
+MARK = b"\n" + VERSION
 SEGMENT_BYTES = 64 << 10
 CHUNK_BYTES = 16 << 10
 DATE = "2024-01-01T00:00:00Z"
