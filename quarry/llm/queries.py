@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, html_extract, jaccard, sharding, warc
+from . import chat, embed_dedup, html_extract, jaccard, quality, sharding, toxicity, warc
 from .common import Scratch, read
 
 
@@ -17,6 +17,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read(spark, sf_dir, "pages"), Scratch(spark, "warc"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_held_out(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.extendible_shards(read(spark, sf_dir, "documents"), Scratch(spark, "sharding"))
     return placed.withColumnRenamed("key", "doc_id")
@@ -38,6 +42,11 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), Scratch(spark, "quality"))
+    return judged.drop("h")
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(read(spark, sf_dir, "embeddings"), Scratch(spark, "embeddings"))
 
@@ -45,9 +54,11 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_warc": op2_warc,
+    "op3_toxicity": op3_toxicity,
     "op6_sharding": op6_sharding,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
