@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, html_extract, jaccard, quality, sharding, toxicity, warc
+from . import chat, decontam, embed_dedup, html_extract, jaccard, packing, quality, sharding, toxicity, warc
 from .common import Scratch, read
 
 
@@ -21,6 +21,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_held_out(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.extendible_shards(read(spark, sf_dir, "documents"), Scratch(spark, "sharding"))
     return placed.withColumnRenamed("key", "doc_id")
@@ -55,6 +63,8 @@ QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
+    "op4_decontamination": op4_decontamination,
+    "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_chat_formatting": op8_chat_formatting,
@@ -76,6 +86,19 @@ ORACLE_SQL = {
           CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
           CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
         FROM m""",
+    "op4_decontamination": r"""
+        WITH w AS (
+          SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+        s AS (
+          SELECT side, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+          FROM w),
+        g AS (
+          SELECT side, id, unnest(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) AS t
+          FROM s WHERE len(ws) >= 5),
+        n AS (SELECT id, count(*) AS n FROM g WHERE side = 'i' GROUP BY id)
+        SELECT d.id AS doc_id, i.id AS item_id, CAST(count(*) AS DOUBLE) / max(n.n) AS containment
+        FROM g d JOIN g i ON d.t = i.t AND d.side = 'd' AND i.side = 'i' JOIN n ON n.id = i.id
+        GROUP BY d.id, i.id HAVING 4 * count(*) >= 3 * max(n.n)""",
     "op6_sharding": f"""
         WITH r AS (
           SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS row_bytes,

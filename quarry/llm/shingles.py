@@ -29,6 +29,11 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 _powers: dict[int, np.ndarray] = {}
 
 
+#: Byte values under which capitals differ from small letters.
+CASED_VALUE = _BYTE_VALUE.copy()
+CASED_VALUE[ord("A") : ord("Z") + 1] = _rng.integers(1, 2**63, 26, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift and odd multiplications)."""
     x = x ^ (x >> np.uint64(31))
@@ -50,11 +55,11 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return have
 
 
-def _piece_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of ``data`` and the start byte of each; words end at ``cuts`` too."""
+def piece_words(data: np.ndarray, cuts: np.ndarray, values: np.ndarray = _BYTE_VALUE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of ``data`` with the start and end byte of each; words end at ``cuts`` too."""
     n = len(data)
     if n == 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     solid = ~_SPACE[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
@@ -67,12 +72,12 @@ def _piece_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.nda
     ends = np.flatnonzero(last) + 1
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTE_VALUE[data] * _power_table(_BASE, n)[:n], out=sums[1:])
+    np.cumsum(values[data] * _power_table(_BASE, n)[:n], out=sums[1:])
     raw = (sums[ends] - sums[starts]) * _power_table(_INVERSE, n)[starts]
-    return mix64(raw + (ends - starts).astype(np.uint64) * _STEP), starts
+    return mix64(raw + (ends - starts).astype(np.uint64) * _STEP), starts, ends
 
 
-def _string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the n+1 offsets of a string or binary array; nulls read as empty."""
     if column.null_count:
         column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
@@ -83,29 +88,32 @@ def _string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at
 
 
+def space_cuts(data: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """Pieces of about ``PIECE_BYTES`` of a long text, cut at white space."""
+    while lo < hi:
+        stop = min(hi, lo + PIECE_BYTES)
+        while stop < hi:
+            gap = np.flatnonzero(_SPACE[data[stop : stop + 4096]])
+            if len(gap):
+                stop = min(hi, stop + int(gap[0]))
+                break
+            stop = min(hi, stop + 4096)
+        yield lo, stop
+        lo = stop
+
+
 def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word hashes, n+1 word offsets) for runs of whole rows of ``column``."""
-    data, at = _string_buffers(column)
+    data, at = string_buffers(column)
     row, rows = 0, len(column)
     while row < rows:
         end = max(row + 1, int(np.searchsorted(at, at[row] + PIECE_BYTES, "right")) - 1)
         lo, hi = int(at[row]), int(at[end])
         if hi - lo <= PIECE_BYTES:
-            hashes, starts = _piece_words(data[lo:hi], at[row : end + 1] - lo)
+            hashes, starts, _ = piece_words(data[lo:hi], at[row : end + 1] - lo)
             yield row, hashes, np.searchsorted(starts, at[row : end + 1] - lo)
-        else:  # one long text: cut at white space
-            parts = []
-            while lo < hi:
-                stop = min(hi, lo + PIECE_BYTES)
-                while stop < hi:
-                    gap = np.flatnonzero(_SPACE[data[stop : stop + 4096]])
-                    if len(gap):
-                        stop = min(hi, stop + int(gap[0]))
-                        break
-                    stop = min(hi, stop + 4096)
-                parts.append(_piece_words(data[lo:stop], np.empty(0, np.int64))[0])
-                lo = stop
-            hashes = np.concatenate(parts)
+        else:
+            hashes = np.concatenate([piece_words(data[a:b], np.empty(0, np.int64))[0] for a, b in space_cuts(data, lo, hi)])
             yield row, hashes, np.array([0, len(hashes)])
         row = end
 
