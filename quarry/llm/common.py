@@ -58,3 +58,13 @@ class Scratch:
 
 def text_or_empty(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+#: Up to so many rows of a list of keys are broadcast, more are joined by a shuffle.
+BROADCAST_KEYS = 1 << 21
+
+
+def without(rows: DataFrame, unwanted: DataFrame, condition) -> DataFrame:
+    """``rows`` without those that ``condition`` matches to a row of ``unwanted`` (a written table)."""
+    small = unwanted.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(unwanted) if small else unwanted, condition, "left_anti")

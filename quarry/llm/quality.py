@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare
+from .common import Scratch, prepare, without
 from .shingles import _BASE, _INVERSE, _power_table, mix64
 
 #: Quantile of the trusted perplexities of a language, and the factor over it.
@@ -256,5 +256,5 @@ def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, quantile: float
 
 def keep_quality(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    good = scratch.table(judge(docs, labels, scratch).where("keep").select("doc_id", "h").distinct(), "good").withColumnsRenamed({"doc_id": "_gid", "h": "_gh"})
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_gid")) & (F.xxhash64("text") == F.col("_gh")), "left_semi")
+    bad = scratch.table(judge(docs, labels, scratch).where("not keep").select("doc_id", "h").distinct(), "bad").withColumnsRenamed({"doc_id": "_bid", "h": "_bh"})
+    return without(docs, bad, F.col("doc_id").eqNullSafe(F.col("_bid")) & (F.xxhash64("text") == F.col("_bh")))
