@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare
+from .common import Scratch, prepare, without
 from .components import connected_components
 from .shingles import mix64, shingle_sets
 
@@ -320,3 +320,14 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", t
     return members.join(comps, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "node", "doc_id").alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row of each group of linked texts (that with the smallest id), with all columns; rows with a null id stay."""
+    found = scratch.table(jaccard_components(docs, scratch), "groups")
+    others = scratch.table(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct(), "others")
+    kept = without(docs, others, F.col("doc_id") == F.col("_other"))
+    again = scratch.table(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "again")
+    if again.isEmpty():
+        return kept
+    return without(kept, again, F.col("doc_id") == F.col("_again")).unionByName(kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]))
