@@ -47,6 +47,8 @@ MISS = 1e-14
 HOT_TEXTS, HOT_SEEN = 48, 3
 #: Most hot shingles kept (the most frequent ones); it bounds the broadcast, not the result.
 HOT_MOST = 1 << 19
+#: Up to so many ids of candidates are broadcast to the texts, more are joined by a shuffle.
+BROADCAST_IDS = 1 << 21
 #: Shingles counted at once in a task.
 BLOCK = 4 << 20
 BITS_LEAST, BITS_MOST = 64, 8192
@@ -274,11 +276,13 @@ def verified(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, scratch: Scra
     bounded = scratch.table(
         pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(_bounded, "a long, b long"), f"{label}-bounded"
     )
-    wanted = bounded.select(F.col("a").alias("doc_id")).union(bounded.select("b")).distinct()
+    wanted = scratch.table(bounded.select(F.col("a").alias("doc_id")).union(bounded.select("b")).distinct(), f"{label}-wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     sets = scratch.table(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "node long, found array<long>"), f"{label}-sets")
     both = bounded.join(sets.select(F.col("node").alias("a"), F.col("found").alias("fa")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("fb")), "b")
     found = scratch.table(both.select("a", "b", "fa", "fb").mapInArrow(_exact, "a long, b long").distinct(), f"{label}-links")
-    scratch.drop(f"{label}-sets", f"{label}-bounded")
+    scratch.drop(f"{label}-sets", f"{label}-bounded", f"{label}-wanted")
     return found
 
 
