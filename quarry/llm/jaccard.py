@@ -217,26 +217,34 @@ def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, n, node, comp) sorted by key, n: pairs of one key in different components, near in size."""
+    """Rows (key, n, node, comp, bits) sorted by key, n: pairs of one key in different components that sizes and bitmaps allow."""
     held: list[np.ndarray] | None = None
 
-    def pairs(n: np.ndarray, node: np.ndarray, comp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def allowed(n: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        size = min(len(bits[0]), len(bits[-1]))  # sizes rise, so do widths
+        flat = np.stack([_folded(np.frombuffer(b, np.uint8), size) for b in bits]).view(np.uint64)
+        most = (n[i] + n[j] - np.bitwise_count(flat[i] ^ flat[j]).sum(axis=1, dtype=np.int64)) // 2
+        return (100 + LINK) * most >= LINK * (n[i] + n[j])
+
+    def pairs(n: np.ndarray, node: np.ndarray, comp: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(n) < 2 or (comp == comp[0]).all():
             return
         low = np.searchsorted(100 * n, LINK * n)
-        for a in range(1, len(n), 512):
-            b = min(len(n), a + 512)
+        for a in range(1, len(n), 128):
+            b = min(len(n), a + 128)
             lo = int(low[a])
             near = (np.arange(lo, b)[None, :] < np.arange(a, b)[:, None]) & (np.arange(lo, b)[None, :] >= low[a:b, None]) & (comp[lo:b][None, :] != comp[a:b][:, None])
             i, j = np.nonzero(near)
-            if len(i):
-                x, y = node[a + i], node[lo + j]
+            for k in range(0, len(i), 1 << 16):
+                at, to = i[k : k + (1 << 16)] + a - lo, j[k : k + (1 << 16)]
+                good = allowed(n[lo:b], bits[lo:b], at, to)
+                x, y = node[lo:b][at[good]], node[lo:b][to[good]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
         if held is not None:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
         cuts = np.concatenate([[0], np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1])
@@ -311,9 +319,10 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", t
     mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     crossing = (
         known.join(mixed, "key", "left_semi")
+        .join(sizes.select("node", "bits"), "node")
         .repartition("key")
         .sortWithinPartitions("key", "n", "node")
-        .select("key", "n", "node", "comp")
+        .select("key", "n", "node", "comp", "bits")
         .mapInArrow(_crossing, "a long, b long")
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
