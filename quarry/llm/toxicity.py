@@ -56,7 +56,7 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, SOFT_INSULT, SOFT_THREAT, QUOTE
 #: Weight of an entry without labels.
 PRIOR_WEIGHT = 3.0
 #: Logistic weights without labels: bias, plain, aimed, negated, reported, threats.
-PRIOR_MODEL = np.array([-2.5, 1.2, 1.0, 0.4, 0.3, 1.0])
+PRIOR_MODEL = np.array([-2.0, 1.5, 1.5, 0.5, 0.4, 1.5])
 
 
 @dataclass
