@@ -51,7 +51,7 @@ HOT_MOST = 1 << 19
 BROADCAST_IDS = 1 << 21
 #: Shingles counted at once in a task.
 BLOCK = 4 << 20
-BITS_LEAST, BITS_MOST = 64, 8192
+BITS_LEAST, BITS_MOST, BITS_EACH = 64, 1 << 17, 4
 _BAND = math.log(4 / 3)
 _TRIES = -math.log(MISS)
 
@@ -114,8 +114,12 @@ def keys_of(found: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def bitmap_of(found: np.ndarray) -> bytes:
-    """Parity bitmap of a set; its width is a power of two near the set's size."""
-    width = min(BITS_MOST, max(BITS_LEAST, 1 << max(0, len(found) - 1).bit_length()))
+    """Parity bitmap of a set; its width is a power of two, ``BITS_EACH`` bits a shingle or more.
+
+    Sets that differ in d shingles show about d - d * d / width odd bits, so at this width
+    the bound tells a similarity of 0.72 from one of 0.75.
+    """
+    width = min(BITS_MOST, max(BITS_LEAST, BITS_EACH << max(0, len(found) - 1).bit_length()))
     odd = np.bincount((found & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
