@@ -13,8 +13,9 @@ shingles.  Steps:
    (1/(4t))**k; k is the smallest for which that is under ``MISS`` = 1e-14, whatever
    the data.  Sets of up to about 90 shingles always spell out the whole prefix.
 3. Per key, sets fall into tiles by size band (ratio 4/3: partners are in the same or
-   the next band).  Each set is first paired with the tile's first set; after those
-   links are merged, only sets of one key in different components are paired.
+   the next band).  Each set is first paired with the tile's first set, then in some
+   rounds with one drawn from the tile, if that is in another component; when these
+   links are merged, all sets of a key that are still in different components are paired.
 4. A pair passes if the bit counts of two folded parity bitmaps allow the overlap:
    |A & B| <= (|A| + |B| - popcount(a xor b)) / 2.
 5. Exact intersection of sorted arrays.
@@ -47,6 +48,8 @@ MISS = 1e-14
 HOT_TEXTS, HOT_SEEN = 48, 3
 #: Most hot shingles kept (the most frequent ones); it bounds the broadcast, not the result.
 HOT_MOST = 1 << 19
+#: Rounds of further stars before sets of different components are paired one by one.
+ROUNDS = 3
 #: Up to so many ids of candidates are broadcast to the texts, more are joined by a shuffle.
 BROADCAST_IDS = 1 << 21
 #: Shingles counted at once in a task.
@@ -317,23 +320,35 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", t
     stars = listed.where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     stars = scratch.table(stars, "stars")
     near = verified(stars, sizes, texts, scratch, "stars")
-    merged = scratch.table(connected_components(near, scratch, "merged"), "merged")
-
-    known = listed.join(merged, "node", "left").select("key", "n", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    tried = stars
+    band = F.floor(F.log("n") / _BAND + 1e-9)
+    for k in range(ROUNDS + 1):
+        merged = scratch.table(connected_components(near, scratch, f"merged-{k}"), f"merged-{k}")
+        known = listed.join(merged, "node", "left").select("key", "n", "node", F.coalesce("comp", "node").alias("comp"))
+        mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+        known = known.join(mixed, "key", "left_semi")
+        if k == ROUNDS:
+            break
+        # stars again around other sets of the tiles, between components only
+        tiles = known.withColumn("band", band)
+        leads = tiles.groupBy("key", "band").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "comp")).alias("lead"))
+        again = tiles.join(leads, ["key", "band"]).where(F.col("comp") != F.col("lead.comp"))
+        again = again.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        again = scratch.table(again, f"stars-{k}")
+        more = verified(again, sizes, texts, scratch, f"stars-{k}")
+        near, tried = near.unionByName(more), tried.unionByName(again)
     crossing = (
-        known.join(mixed, "key", "left_semi")
-        .join(sizes.select("node", "bits"), "node")
+        known.join(sizes.select("node", "bits"), "node")
         .repartition("key")
         .sortWithinPartitions("key", "n", "node")
         .select("key", "n", "node", "comp", "bits")
         .mapInArrow(_crossing, "a long, b long")
         .distinct()
-        .join(stars, ["a", "b"], "left_anti")
+        .join(tried, ["a", "b"], "left_anti")
     )
     more = verified(scratch.table(crossing, "crossing"), sizes, texts, scratch, "crossing")
     comps = scratch.table(connected_components(near.unionByName(more), scratch, "all"), "comps")
-    scratch.drop("listed", "stars", "crossing", "own", "merged")
+    scratch.drop("listed", "stars", "crossing", "own", *(f"{x}-{k}" for x in ("merged", "stars") for k in range(ROUNDS + 1)))
     return members.join(comps, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "node", "doc_id").alias("component_id")
     )
