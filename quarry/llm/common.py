@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +22,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session (rows are still limited as configured)."""
+    """Bound the Arrow batches of this session and see that executors can import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    context = spark.sparkContext
+    if not getattr(context, "_quarry_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp()  # the driver serves the file from here while it runs
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = os.path.join(folder, f"{package.name}.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        context.addPyFile(archive)
+        context._quarry_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
