@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
-from .shingles import CASED_VALUE, PIECE_BYTES, mix64, piece_words, space_cuts, string_buffers
+from .shingles import CASED_VALUE, FOLDED_VALUE, mix64, piece_words, space_cuts, string_buffers
 
 WINDOW = 4096
 END_ID = 2
@@ -38,7 +39,9 @@ SHARD_DOCS = 4096
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 #: Words whose ids a worker remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 3 << 17
+#: Bytes tokenised at once.
+PIECE_BYTES = 1 << 19
 
 
 def default_tokenizer() -> str:
@@ -47,6 +50,32 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_CLOSING = np.zeros(256, bool)
+_CLOSING[list(b".,;:!?)")] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def split_cuts(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """``cuts`` and the places where one closing mark follows an ASCII letter or digit and ends a word.
+
+    The tokenizer parts them there too, so words with and without the mark share their ids.
+    """
+    last = np.zeros(len(data), bool)
+    last[:-1] = _BLANK[data[1:]]
+    if len(data):
+        last[-1] = True
+    inner = cuts[(cuts > 0) & (cuts < len(data))]
+    last[inner - 1] = True
+    marks = _CLOSING[data] & last
+    marks[1:] &= _ALNUM[data[:-1]]
+    if len(marks):
+        marks[0] = False
+    return np.union1d(cuts, np.flatnonzero(marks))
+
+
 class WordTokenizer:
     """Ids of whole texts, word by word: the tokenizer's pieces never cross white space."""
 
@@ -60,23 +89,29 @@ class WordTokenizer:
         self.number: dict[int, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
-        self.first: list[int] = []
-        self.size: list[int] = []
+        self.first, self.size = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
 
     def _learn(self, hashes: list[int], words: list[str]) -> None:
-        for h, e in zip(hashes, self.tokenizer.encode_batch(words, add_special_tokens=False)):
-            ids = e.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.number[h] = len(self.first)
-            self.first.append(self.used)
-            self.size.append(len(ids))
-            self.used += len(ids)
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        ids = [e.ids for e in encode(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        fresh = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        k, n = len(self.number), len(ids)
+        while self.used + len(fresh) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while k + n > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.first, self.size))
+        self.flat[self.used : self.used + len(fresh)] = fresh
+        self.first[k : k + n] = self.used + np.cumsum(sizes) - sizes
+        self.size[k : k + n] = sizes
+        self.number.update(zip(hashes, range(k, k + n)))
+        self.used += len(fresh)
 
     def _piece(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a piece and, for each cut, how many lie before it."""
-        hashes, starts, ends = piece_words(data, cuts, CASED_VALUE)
+        raw = data.tobytes()
+        # capitals matter only inside the special tokens' own strings
+        hashes, starts, ends = piece_words(data, split_cuts(data, cuts), CASED_VALUE if b"<|" in raw else FOLDED_VALUE)
         if not len(hashes):
             return np.empty(0, np.uint32), np.zeros(len(cuts), np.int64)
         if len(self.number) > REMEMBERED:
@@ -85,10 +120,10 @@ class WordTokenizer:
         keys = different.tolist()
         new = [i for i, h in enumerate(keys) if h not in self.number]
         if new:
-            raw = data.tobytes()
-            self._learn([keys[i] for i in new], [raw[starts[where[i]] : ends[where[i]]].decode("utf-8", "replace") for i in new])
-        number = np.fromiter((self.number[h] for h in keys), np.int64, len(keys))
-        first, size = np.array(self.first)[number][inverse], np.array(self.size)[number][inverse]
+            at = where[new]
+            self._learn([keys[i] for i in new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+        number = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+        first, size = self.first[number][inverse], self.size[number][inverse]
         stop = np.cumsum(size)
         at = np.repeat(first - (stop - size), size) + np.arange(stop[-1])
         before = np.concatenate([[0], stop])
@@ -106,20 +141,27 @@ class WordTokenizer:
                 for a, b in zip(before[:-1], before[1:]):
                     yield ids[a:b]
             else:
-                yield np.concatenate([self._piece(data[a:b], np.empty(0, np.int64))[0] for a, b in space_cuts(data, lo, hi)])
+                yield np.concatenate([self._piece(data[a:b], np.empty(0, np.int64))[0] for a, b in space_cuts(data, lo, hi, PIECE_BYTES)])
             row = end
 
 
-def _tokenised(path: str):
-    made: list[WordTokenizer] = []
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_for(path: str) -> WordTokenizer:
+    """The tokenizer of this process; it outlives a task."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
+
+def _tokenised(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, text) -> (doc_id, key, tokens, crcs, terms)."""
-        if not made:
-            made.append(WordTokenizer(path))
+        tokenizer = tokenizer_for(path)
         for batch in batches:
             keys, sizes, crcs, terms = [], [], [], []
-            for ids in made[0].column(batch.column(1)):
+            for ids in tokenizer.column(batch.column(1)):
                 raw = memoryview(np.append(ids, np.uint32(END_ID)).astype("<u4").tobytes())
                 crc, prefix = 0, []
                 for a in range(0, len(raw), 4 * GRAIN):

@@ -29,6 +29,7 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 _powers: dict[int, np.ndarray] = {}
 
 
+FOLDED_VALUE = _BYTE_VALUE
 #: Byte values under which capitals differ from small letters.
 CASED_VALUE = _BYTE_VALUE.copy()
 CASED_VALUE[ord("A") : ord("Z") + 1] = _rng.integers(1, 2**63, 26, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,10 +89,10 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at
 
 
-def space_cuts(data: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int]]:
-    """Pieces of about ``PIECE_BYTES`` of a long text, cut at white space."""
+def space_cuts(data: np.ndarray, lo: int, hi: int, size: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
+    """Pieces of about ``size`` bytes of a long text, cut at white space."""
     while lo < hi:
-        stop = min(hi, lo + PIECE_BYTES)
+        stop = min(hi, lo + size)
         while stop < hi:
             gap = np.flatnonzero(_SPACE[data[stop : stop + 4096]])
             if len(gap):
