@@ -335,8 +335,12 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", t
         again = tiles.join(leads, ["key", "band"]).where(F.col("comp") != F.col("lead.comp"))
         again = again.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         again = scratch.table(again, f"stars-{k}")
+        if again.isEmpty():
+            break
         more = verified(again, sizes, texts, scratch, f"stars-{k}")
         near, tried = near.unionByName(more), tried.unionByName(again)
+        if more.isEmpty():  # the components stay as they are
+            break
     crossing = (
         known.join(sizes.select("node", "bits"), "node")
         .repartition("key")

@@ -109,9 +109,8 @@ def text_trigrams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndar
         s = found.astype(np.int32)
         codes = (s[1:-1] << 12) | (s[:-2] << 6) | s[2:]
         real = s[2:] != BOUNDARY
-        ends = np.flatnonzero((s[:-1] == BOUNDARY) & (s[1:] == BOUNDARY))
         # boundaries come in pairs; a text without symbols leaves two pairs side by side
-        marks = ends[: 1] if len(held) == 0 else ends
+        marks = np.flatnonzero((s[:-1] == BOUNDARY) & (s[1:] == BOUNDARY))
         if len(marks) != len(held) + 1:  # an empty text: fall back to one by one
             for x in held:
                 yield np.unique(_trigrams(symbols("\0\0" + x)), return_counts=True) if x else (np.empty(0, np.int32), np.empty(0, np.int64))
