@@ -15,7 +15,8 @@ shingles.  Steps:
 3. Per key, sets fall into tiles by size band (ratio 4/3: partners are in the same or
    the next band).  Each set is first paired with the tile's first set, then in some
    rounds with one drawn from the tile, if that is in another component; when these
-   links are merged, all sets of a key that are still in different components are paired.
+   links are merged, all sets of a key that are still in different components are paired,
+   at the smallest key they share.
 4. A pair passes if the bit counts of two folded parity bitmaps allow the overlap:
    |A & B| <= (|A| + |B| - popcount(a xor b)) / 2.
 5. Exact intersection of sorted arrays.
@@ -224,7 +225,10 @@ def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, n, node, comp, bits) sorted by key, n: pairs of one key in different components that sizes and bitmaps allow."""
+    """Rows (key, n, node, comp, bits, keys) sorted by key, n: pairs of one key in different components that sizes and bitmaps allow.
+
+    A pair that shares several keys is made at the smallest of them only.
+    """
     held: list[np.ndarray] | None = None
 
     def allowed(n: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -233,9 +237,17 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most = (n[i] + n[j] - np.bitwise_count(flat[i] ^ flat[j]).sum(axis=1, dtype=np.int64)) // 2
         return (100 + LINK) * most >= LINK * (n[i] + n[j])
 
-    def pairs(n: np.ndarray, node: np.ndarray, comp: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(key: int, n: np.ndarray, node: np.ndarray, comp: np.ndarray, bits: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(n) < 2 or (comp == comp[0]).all():
             return
+        smaller: dict[int, frozenset] = {}  # row -> its keys under this one
+
+        def earlier(r: int) -> frozenset:
+            if r not in smaller:
+                own = np.asarray(keys[r])
+                smaller[r] = frozenset(own[own < key].tolist())
+            return smaller[r]
+
         low = np.searchsorted(100 * n, LINK * n)
         for a in range(1, len(n), 128):
             b = min(len(n), a + 128)
@@ -244,22 +256,24 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, j = np.nonzero(near)
             for k in range(0, len(i), 1 << 16):
                 at, to = i[k : k + (1 << 16)] + a - lo, j[k : k + (1 << 16)]
-                good = allowed(n[lo:b], bits[lo:b], at, to)
+                good = np.flatnonzero(allowed(n[lo:b], bits[lo:b], at, to))
+                fresh = [earlier(x).isdisjoint(earlier(y)) for x, y in zip((at[good] + lo).tolist(), (to[good] + lo).tolist())]
+                good = good[np.array(fresh, bool)]
                 x, y = node[lo:b][at[good]], node[lo:b][to[good]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
         if held is not None:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
         cuts = np.concatenate([[0], np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1])
         for s, e in zip(cuts[:-1], cuts[1:]):
-            yield from pairs(*(c[s:e] for c in cols[1:]))
+            yield from pairs(cols[0][s], *(c[s:e] for c in cols[1:]))
         held = [c[cuts[-1] :] for c in cols]
     if held is not None:
-        yield from pairs(*held[1:])
+        yield from pairs(held[0][0], *held[1:])
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,10 +356,10 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", t
         if more.isEmpty():  # the components stay as they are
             break
     crossing = (
-        known.join(sizes.select("node", "bits"), "node")
+        known.join(own.select("node", "bits", "keys"), "node")
         .repartition("key")
         .sortWithinPartitions("key", "n", "node")
-        .select("key", "n", "node", "comp", "bits")
+        .select("key", "n", "node", "comp", "bits", "keys")
         .mapInArrow(_crossing, "a long, b long")
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
