@@ -50,7 +50,7 @@ HOT_TEXTS, HOT_SEEN = 48, 3
 #: Most hot shingles kept (the most frequent ones); it bounds the broadcast, not the result.
 HOT_MOST = 1 << 19
 #: Rounds of further stars before sets of different components are paired one by one.
-ROUNDS = 3
+ROUNDS = 1
 #: Up to so many ids of candidates are broadcast to the texts, more are joined by a shuffle.
 BROADCAST_IDS = 1 << 21
 #: Shingles counted at once in a task.
