@@ -6,9 +6,10 @@ repeats the word before it, with the gap between them).  Trigram counts are gath
 the corpus; the model is the table of the 64**3 interpolated probabilities, cut into
 shards by the middle symbol.  Scoring is a sharded join: the distinct trigrams of each
 document are cut the same way, packed, dealt to (shard, salt) and streamed past the
-shard's part of the table; partial sums are added per document.  A document is
-rejected if its perplexity is over a quantile of the trusted ones of its language,
-widened by a factor.
+shard's part of the table; partial sums are added per document.  Symbols see spelling
+only; words and their order are scored by a trigram model of words, whose table grows
+with the trusted texts (``wordmodel``).  A document is rejected if either perplexity is
+over a quantile of the trusted ones of its language, widened by a factor.
 
 Defined cases: null, empty and white-space texts are rejected, with a null perplexity;
 a language without trusted texts (null is one too) takes the quantile over all; without any trusted text
@@ -27,9 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, prepare, without
 from .shingles import _BASE, _INVERSE, _power_table, mix64
+from .wordmodel import word_perplexities
 
 #: Quantile of the trusted perplexities of a language, and the factor over it.
 QUANTILE, FACTOR = 0.98, 1.25
+#: Factor over the quantile of the word model's perplexities, which spread more than those of symbols.
+WORD_FACTOR = 2.0
 #: Symbols of mean trusted text added to every document, so that a few words prove little.
 PRIOR = 48
 SHARDS = 4
@@ -229,27 +233,42 @@ def perplexities(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataF
     return sums.select("doc_id", "h", F.exp(-(F.col("logp") + PRIOR * mean) / (F.col("n") + PRIOR)).alias("perplexity"))
 
 
+def _keyed(scores: DataFrame) -> DataFrame:
+    return scores.withColumnsRenamed({"doc_id": "sid", "h": "sh"})
+
+
 def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, quantile: float = QUANTILE, factor: float = FACTOR) -> DataFrame:
-    """doc_id, h, lang, perplexity, threshold, keep for each distinct (doc_id, text, lang) of ``docs``.
+    """doc_id, h, lang, perplexity, threshold, word_perplexity, word_threshold, keep for each distinct (doc_id, text, lang) of ``docs``.
 
     ``labels`` has doc_id and quality; 1 marks trusted text.
     """
     prepare(docs.sparkSession)
     trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    # Shuffle files go with the table they were made for, so that those of the two models do not add up.
+    docs.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     scores = scratch.table(perplexities(rows, trusted, scratch), "scores")
+    words = scratch.table(word_perplexities(rows, trusted, scratch), "words")
+    docs.sparkSession.conf.unset("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
     # Languages come without texts, so that no text moves.
     langs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "lang", (F.length(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))) > 0).alias("full")).distinct()
-    keyed = scores.withColumnsRenamed({"doc_id": "sid", "h": "sh"})
-    scored = scratch.table(langs.join(keyed, F.col("doc_id").eqNullSafe(F.col("sid")) & (F.col("h") == F.col("sh")), "left").drop("sid", "sh"), "scored")
+    scores = scratch.table(scores.join(_keyed(words), F.col("doc_id").eqNullSafe(F.col("sid")) & (F.col("h") == F.col("sh")), "left").drop("sid", "sh"), "both")
+    scored = scratch.table(langs.join(_keyed(scores), F.col("doc_id").eqNullSafe(F.col("sid")) & (F.col("h") == F.col("sh")), "left").drop("sid", "sh"), "scored")
     known = scored.where("full").join(trusted, "doc_id", "left_semi")
-    by_lang = known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 20_000).alias("q")).select(F.col("lang").alias("l"), "q")
-    overall = known.agg(F.percentile_approx("perplexity", quantile, 20_000)).first()[0]
-    limit = F.coalesce("q", F.lit(overall).cast("double"), F.lit(float("inf"))) * factor
+    quantiles = [F.percentile_approx(x, quantile, 20_000) for x in ("perplexity", "word_perplexity")]
+    by_lang = known.groupBy("lang").agg(quantiles[0].alias("q"), quantiles[1].alias("wq")).select(F.col("lang").alias("l"), "q", "wq")
+    overall = known.agg(*quantiles).first()
+    limit = lambda q, k, x: F.coalesce(q, F.lit(overall[k]).cast("double"), F.lit(float("inf"))) * x
+    within = lambda x, top: F.coalesce(x, F.lit(0.0)) <= F.col(top)
     return (
         scored.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left")
-        .withColumn("threshold", limit)
-        .select("doc_id", "h", "lang", F.when(F.col("full"), F.col("perplexity")).alias("perplexity"), "threshold", (F.col("full") & (F.coalesce("perplexity", F.lit(0.0)) <= F.col("threshold"))).alias("keep"))
+        .withColumn("threshold", limit("q", 0, factor))
+        .withColumn("word_threshold", limit("wq", 1, WORD_FACTOR))
+        .select(
+            "doc_id", "h", "lang", F.when(F.col("full"), F.col("perplexity")).alias("perplexity"), "threshold",
+            F.when(F.col("full"), F.col("word_perplexity")).alias("word_perplexity"), "word_threshold",
+            (F.col("full") & within("perplexity", "threshold") & within("word_perplexity", "word_threshold")).alias("keep"),
+        )
     )
 
 

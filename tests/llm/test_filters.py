@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from quarry.llm import decontam, quality, toxicity
+from quarry.llm import decontam, quality, toxicity, wordmodel
 from quarry.llm.common import Scratch
 from quarry.llm.shingles import shingle_sets, word_hashes
 
@@ -148,3 +148,36 @@ def test_decontamination(spark):
     assert {r["doc_id"] for r in kept.collect()} == {k for k, _ in docs} - {r["doc_id"] for r in got}
     assert decontam.leaks(d.limit(0), i).count() == 0 and decontam.leaks(d, i.limit(0)).count() == 0
     assert decontam.keep_uncontaminated(d, i.limit(0)).count() == len(docs)
+
+
+def sentences(rng, n):
+    chains = {w: random.Random(w).sample(WORDS, 2) for w in WORDS}
+    words = [rng.choice(WORDS)]
+    while len(words) < n:
+        words.append(rng.choice(chains[words[-1]]))
+    return words
+
+
+def test_quality_word_order(spark):
+    rng = random.Random(5)
+    texts = [sentences(rng, 80) for _ in range(240)]
+    shuffled = [rng.sample(t, len(t)) for t in texts[:40]]
+    rows = [(k, " ".join(t), "en") for k, t in enumerate(texts)] + [(1000 + k, " ".join(t), "en") for k, t in enumerate(shuffled)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k in range(160)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality.judge(docs, labels, Scratch(spark, "t")).collect()}
+    assert np.mean([got[k]["keep"] for k in range(160, 240)]) > 0.95
+    assert np.mean([got[1000 + k]["keep"] for k in range(40)]) < 0.05
+
+
+def test_word_model_shards(spark, monkeypatch):
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(k, k, " ".join(sentences(rng, 60))) for k in range(120)], "doc_id long, h long, text string")
+    trusted = docs.where("doc_id < 80").select("doc_id")
+    one = {r["doc_id"]: r["word_perplexity"] for r in wordmodel.word_perplexities(docs, trusted, Scratch(spark, "t")).collect()}
+    monkeypatch.setattr(wordmodel, "SHARD_WORDS", 600)
+    many = {r["doc_id"]: r["word_perplexity"] for r in wordmodel.word_perplexities(docs, trusted, Scratch(spark, "t")).collect()}
+    assert len(one) == len(many) == 120
+    assert all(many[k] == pytest.approx(one[k], rel=0.2) for k in one)
+    held, other = np.log([one[k] for k in range(80)]).mean(), np.log([one[k] for k in range(80, 120)]).mean()
+    assert held == pytest.approx(other, rel=0.05)
