@@ -163,6 +163,9 @@ dialect("select_distinct", "SELECT DISTINCT p_brand FROM part WHERE p_size > 40"
 query("sort_asc", lambda t: top(project(t("nation"), "n_name"), [F.asc("n_name")]), "SELECT n_name FROM nation ORDER BY n_name")
 query("sort_desc", lambda t: top(project(t("supplier"), "s_suppkey", "s_acctbal"), [F.desc("s_acctbal"), "s_suppkey"], 20), "SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 20")
 query("sort_multi", lambda t: top(project(t("customer"), "c_nationkey", "c_custkey"), [F.desc("c_nationkey"), F.asc("c_custkey")], 50), "SELECT c_nationkey, c_custkey FROM customer ORDER BY c_nationkey DESC, c_custkey LIMIT 50")
+# The same sorts without a cap: every row is ordered
+query("sort_desc_all", lambda t: top(project(t("supplier"), "s_suppkey", "s_acctbal"), [F.desc("s_acctbal"), "s_suppkey"]), "SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey")
+query("sort_multi_all", lambda t: top(project(t("customer"), "c_nationkey", "c_custkey"), [F.desc("c_nationkey"), F.asc("c_custkey")]), "SELECT c_nationkey, c_custkey FROM customer ORDER BY c_nationkey DESC, c_custkey")
 query("limit_only", lambda t: t("part").select("p_partkey").limit(7), None)
 query("topk", lambda t: top(project(t("orders"), "o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 10), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 dialect("limit_zero", "SELECT n_name FROM nation LIMIT 0")
@@ -172,6 +175,7 @@ query(
     "SELECT o_custkey, round(sum(o_totalprice), 2) AS s FROM orders GROUP BY o_custkey ORDER BY s DESC, o_custkey LIMIT 5",
 )
 dialect("sort_hidden_col", "SELECT n_name FROM nation ORDER BY n_nationkey DESC LIMIT 3")
+dialect("sort_hidden_col_all", "SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey")
 
 # Expressions
 

@@ -55,3 +55,12 @@ def test_invariants(spark):
     assert [r["d_id"] for r in invariants.next_order_ids(district, orders, new_orders).collect()] == [2]
     assert [r["d_id"] for r in invariants.line_counts(orders, lines).collect()] == [2]
     assert [r["no_d_id"] for r in invariants.gapless_new_orders(new_orders).collect()] == [1]
+
+
+@pytest.mark.parametrize("name, table", [("sort_desc_all", "supplier"), ("sort_multi_all", "customer"), ("sort_hidden_col_all", "customer")])
+def test_whole_sorts(spark, duck, name, table):
+    df = QUERIES[name](spark, SF)
+    assert "TakeOrdered" not in _plan(df)
+    got = [tuple(map(_norm, r)) for r in df.collect()]
+    assert len(got) == spark.read.parquet(f"{SF}/{table}.parquet").count()
+    assert got == [tuple(map(_norm, r)) for r in duck.execute(f"select {', '.join(df.columns)} from ({ORACLE_SQL[name]})").fetchall()]
