@@ -2,10 +2,12 @@
 
 Only vectors of one label are compared.  Equal vectors (bit for bit) are one class
 with a count.  Each pass draws random hyperplanes, concatenates the sign bits of a
-vector to a key and sorts (label, key); every class is compared in double precision
-with its ``WINDOW`` predecessors in that order, and links (cosine >= 0.98) of all
-passes are united.  The keys of different passes are independent, so a pair that one
-order parts is adjacent in another.
+vector, taken from the mean of its label's unit vectors, to a key and sorts (label,
+key); every class is compared in double precision, on the vectors themselves, with its
+``WINDOW`` predecessors in that order, and links (cosine >= 0.98) of all passes are
+united.  The keys of different passes are independent, so a pair that one order parts is
+adjacent in another.  The number of passes of a label follows its size and its spread
+(``passes_of``); they run ``TURN`` at a time.
 
 Dense groups hold more partners than a window: inside each component found so far all
 pairs are therefore tested exactly, block against block, so ``n_links`` counts every
@@ -30,12 +32,17 @@ from .common import Scratch, prepare
 from .components import connected_components
 
 COSINE = 0.98
-PASSES = 12
+#: Passes of a label at least, and passes in one job.
+PASSES = TURN = 12
+#: Chance with which a pair just at COSINE should come near in some pass.
+RECALL = 0.99
 WINDOW = 24
 KEY_BITS = 62
 #: Members of a component compared in one task at a time.
 BLOCK = 512
 SEED = 7919
+#: Means of up to so many labels are broadcast.
+BROADCAST_LABELS = 1 << 15
 #: Classes per sorted partition.
 PART_ROWS = 20_000
 
@@ -49,20 +56,73 @@ def _planes(dim: int, k: int) -> np.ndarray:
     return np.random.default_rng([SEED, k, dim]).standard_normal((dim, KEY_BITS))
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, label, v) -> a row per pass with its key."""
-    weights = 1 << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64)
+def passes_of(n: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Passes for labels of ``n`` classes whose mean unit vector has the squared length ``mean``.
+
+    A pair at COSINE has the cosine r about the mean, so each sign bit agrees with chance
+    1 - acos(r) / pi; it should share the bits that leave WINDOW classes.  Where nearly all
+    pairs link, or as many comparisons would make all pairs, there is no need for more.
+    """
+    n, spread = np.asarray(n, float), np.maximum(1 - np.asarray(mean, float), 1e-9)
+    agree = 1 - np.arccos(np.clip(1 - (1 - COSINE) / spread, 0, 1)) / np.pi
+    near = np.clip(agree ** np.maximum(0, np.log2(n / WINDOW)), 1e-9, 1 - 1e-9)
+    want = np.where(spread <= 1 - COSINE, 0, np.log(1 - RECALL) / np.log(1 - near))
+    return np.ceil(np.maximum(PASSES, np.minimum(want, n / (2 * WINDOW)))).astype(np.int64)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, v) -> (label, dim, n, total of unit vectors) of a task."""
+    held: dict[tuple[int, int], list] = {}
     for batch in batches:
-        vectors = _matrix(batch.column(2))
-        by_dim: dict[int, list[int]] = {}
-        for i, v in enumerate(vectors):
-            by_dim.setdefault(len(v), []).append(i)
-        for dim, rows in by_dim.items():
-            m, at = np.stack([vectors[i] for i in rows]), pa.array(rows)
-            part = batch.take(at)
-            for k in range(PASSES):
-                key = ((m @ _planes(dim, k)) > 0) @ weights
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, np.int32)), part.column(1), pa.array(key), part.column(0), part.column(2)], names=["pass", "label", "key", "node", "v"])
+        for label, v in zip(batch.column(0).to_pylist(), _matrix(batch.column(1))):
+            own = held.setdefault((label, len(v)), [0, np.zeros(len(v))])
+            own[0] += 1
+            own[1] += v / np.linalg.norm(v)
+    yield _rows(held)
+
+
+def _rows(held: dict[tuple[int, int], list]) -> pa.RecordBatch:
+    totals = pa.array([t.tolist() for _, t in held.values()], pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([d for _, d in held], pa.int32()), pa.array([n for n, _ in held.values()], pa.int64()), totals], names=["label", "dim", "n", "total"])
+
+
+def _shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, dim, n, total), all of a label -> (label, dim, mean, passes)."""
+    held: dict[tuple[int, int], list] = {}
+    for batch in batches:
+        for label, dim, n, total in zip(*(batch.column(i).to_pylist() for i in range(3)), _matrix(batch.column(3))):
+            own = held.setdefault((label, dim), [0, np.zeros(dim)])
+            own[0] += n
+            own[1] += total
+    for own in held.values():
+        own[1] /= own[0]
+        own[0] = int(passes_of(own[0], own[1] @ own[1]))
+    out = _rows(held)
+    yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), out.column(3), out.column(2)], names=["label", "dim", "mean", "passes"])
+
+
+def _keyed(turn: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(node, label, v, mean, passes) -> a row per pass of the turn with its key."""
+        weights = 1 << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64)
+        for batch in batches:
+            vectors, means = _matrix(batch.column(2)), _matrix(batch.column(3))
+            passes = batch.column(4).to_numpy()
+            by_dim: dict[int, list[int]] = {}
+            for i, v in enumerate(vectors):
+                by_dim.setdefault(len(v), []).append(i)
+            for dim, rows in by_dim.items():
+                m = np.stack([vectors[i] / np.linalg.norm(vectors[i]) - means[i] for i in rows])
+                rows = np.array(rows)
+                for k in range(turn * TURN, (turn + 1) * TURN):
+                    own = np.flatnonzero(passes[rows] > k)
+                    if not len(own):
+                        break
+                    key = ((m[own] @ _planes(dim, k)) > 0) @ weights
+                    part = batch.take(pa.array(rows[own]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), part.column(1), pa.array(key), part.column(0), part.column(2)], names=["pass", "label", "key", "node", "v"])
+
+    return run
 
 
 def _windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +189,20 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, key: str = "vec_id", vect
     classes = scratch.table(
         rows.where("fit").groupBy("label", F.transform(v, lambda x: x + F.lit(0.0)).alias("v")).agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), "classes"
     )
-    parts = max(1, classes.count() * PASSES // PART_ROWS)
-    keyed = classes.select("node", "label", "v").mapInArrow(_keyed, "pass int, label long, key long, node long, v array<double>")
-    found = keyed.repartitionByRange(parts, "pass", "label", "key").sortWithinPartitions("pass", "label", "key", "node").mapInArrow(_windowed, "a long, b long").distinct()
-    comps = scratch.table(connected_components(scratch.table(found, "links"), scratch), "components")
+    shape = classes.select("label", "v").mapInArrow(_summed, "label long, dim int, n long, total array<double>").repartition("label", "dim")
+    shape = scratch.table(shape.mapInArrow(_shaped, "label long, dim int, mean array<double>, passes long"), "shape")
+    shape = F.broadcast(shape) if shape.count() <= BROADCAST_LABELS else shape
+    most = shape.agg(F.max("passes")).first()[0] or 0
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # the shuffle files of one turn go before the next
+    links = classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    for turn in range(-(-most // TURN)):
+        wide = classes.withColumn("dim", F.size("v")).join(shape.where(F.col("passes") > turn * TURN), ["label", "dim"]).select("node", "label", "v", "mean", "passes")
+        parts = max(1, wide.count() * TURN // PART_ROWS)
+        keyed = wide.mapInArrow(_keyed(turn), "pass int, label long, key long, node long, v array<double>")
+        found = keyed.repartitionByRange(parts, "pass", "label", "key").sortWithinPartitions("pass", "label", "key", "node").mapInArrow(_windowed, "a long, b long").distinct()
+        links = links.unionByName(scratch.table(found, f"links-{turn}"))
+    spark.conf.unset("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    comps = scratch.table(connected_components(links, scratch), "components")
 
     # All links within a component, block by block.
     inside = classes.join(comps, "node").select("comp", "label", F.size("v").alias("dim"), F.struct("node", "n", "v").alias("m"), "node")

@@ -150,6 +150,21 @@ def test_embeddings(spark):
     assert embed_dedup.near_vectors(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_embeddings_isolated_pairs_off_centre(spark):
+    rng = np.random.default_rng(4)
+    n, dim, pairs = 20_000, 64, 300
+    x = rng.standard_normal(dim) * [1] / np.sqrt(dim) + rng.standard_normal((n, dim)) * 0.42 / np.sqrt(dim)
+    for k in range(pairs):
+        u = x[k] / np.linalg.norm(x[k])
+        g = rng.standard_normal(dim)
+        g -= g @ u * u
+        x[n - 1 - k] = 0.982 * u + np.sqrt(1 - 0.982**2) * g / np.linalg.norm(g)
+    df = spark.createDataFrame([(k, v, 0) for k, v in enumerate(x.astype(np.float32).tolist())], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["component_id"] for r in embed_dedup.near_vectors(df, Scratch(spark, "t")).collect()}
+    assert len(got) == n and np.mean([got[k] == got[n - 1 - k] for k in range(pairs)]) >= 0.97
+    assert embed_dedup.passes_of(400_000, 0.85) > embed_dedup.passes_of(20_000, 0.85) > embed_dedup.passes_of(20_000, 0.0) == embed_dedup.PASSES
+
+
 def test_piece_crc():
     rng = random.Random(1)
     data = rng.randbytes(70_000)
