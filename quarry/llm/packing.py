@@ -1,11 +1,13 @@
 """Lexical retrieval packing into token windows.
 
 Documents are tokenised (plus an end id) and cut freely: whole windows of a long
-document are sequences of their own, the rest is packed.  Documents are dealt to shards
-by a MinHash of their token ids, so that texts with common vocabulary meet; each shard
-streams its documents in blocks of ``BLOCK`` and builds a BM25 inverted index per block.
-A seed document (the longest left) queries the index; its unused neighbours fill the
-window in order of score, the last one cut to fit, its rest going back to the pool.
+document are sequences of their own, the rest is packed.  Documents are sorted by the
+least hashes of their token ids and cut into even shards, so that texts with common
+vocabulary lie together and no key gathers a large part of them.  Each shard holds one
+BM25 inverted index over all its documents; document frequencies, the number of documents
+and their mean length are those of the whole corpus.  A seed document (the longest left)
+queries the index; its unused neighbours fill the window in order of score, the last one
+cut to fit, its rest going back to the pool.
 
 Cuts inside documents lie at multiples of ``GRAIN`` ids, for which prefix checksums are
 kept; the checksum of any piece follows from two of them (CRC-32 is linear), so ids never
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -27,15 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import Scratch, prepare
 from .shingles import CASED_VALUE, FOLDED_VALUE, mix64, piece_words, space_cuts, string_buffers
 
 WINDOW = 4096
 END_ID = 2
 GRAIN = 32
-BLOCK = 2048
-#: Documents a shard should have at least.
-SHARD_DOCS = 4096
+#: Documents of a shard, whose index one task holds.
+SHARD_DOCS = 32768
+#: Least token hashes of a document that order it among the others.
+KEY_TERMS = 8
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 #: Words whose ids a worker remembers.
@@ -168,13 +172,13 @@ def _tokenised(path: str):
                     crc = zlib.crc32(raw[a : a + 4 * GRAIN], crc)
                     prefix.append(crc)
                 different, counts = np.unique(ids, return_counts=True)
-                least = np.sort(mix64(different.astype(np.uint64) + np.uint64(99)))[:2]
-                keys.append(int((least * np.array([3, 5], np.uint64)[: len(least)]).sum(dtype=np.uint64) >> np.uint64(1)))
+                least = np.sort(mix64(different.astype(np.uint64) + np.uint64(99)))[:KEY_TERMS]
+                keys.append((least >> np.uint64(32)).astype(">u4").tobytes())
                 sizes.append(len(ids) + 1)
                 crcs.append(np.array(prefix, np.uint32).tobytes())
                 terms.append(different.astype(np.uint16).tobytes() + np.minimum(counts, 65535).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.binary()), pa.array(terms, pa.binary())],
+                [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.binary()), pa.array(terms, pa.binary())],
                 names=["doc_id", "key", "tokens", "crcs", "terms"],
             )
 
@@ -215,10 +219,41 @@ def piece_crc(before: np.ndarray, until: np.ndarray, size: np.ndarray) -> np.nda
     return until.astype(np.uint32) ^ x
 
 
+@dataclass
+class Corpus:
+    """What BM25 needs of all documents: their number, mean length and, for each term, how many hold it."""
+
+    n: int
+    length: float
+    df: np.ndarray
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tokens, terms) -> (term, df) of a task; term -1 has the documents, -2 their tokens."""
+    df, n, size = np.zeros(1 << 16, np.int64), 0, 0
+    for batch in batches:
+        n, size = n + batch.num_rows, size + int(batch.column(0).to_numpy().sum())
+        terms = [np.frombuffer(x, np.uint16)[: len(x) // 4] for x in batch.column(1).to_pylist()]
+        df += np.bincount(np.concatenate(terms), minlength=1 << 16)
+    held = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2], held]).astype(np.int32)), pa.array(np.concatenate([[n, size], df[held]]))], names=["term", "df"])
+
+
+def corpus_of(tokenised: DataFrame) -> Corpus:
+    rows = tokenised.select("tokens", "terms").mapInArrow(_frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()  # 2**16 rows at most
+    found, df = {r["term"]: r["df"] for r in rows}, np.zeros(1 << 16, np.int64)
+    for term, k in found.items():
+        if term >= 0:
+            df[term] = k
+    n = found.get(-1, 0)
+    return Corpus(n, found.get(-2, 0) / max(n, 1), df)
+
+
 class Shard:
-    """Packs the documents of a shard, block by block."""
+    """Packs the documents of a shard."""
 
-    def __init__(self, number: int):
+    def __init__(self, number: int, corpus: Corpus):
+        self.corpus = corpus
         self.last = number << 40
         self.current: int | None = None  # the unfinished window
         self.filled = 0
@@ -245,7 +280,7 @@ class Shard:
                 self.rows.append((docs[i][0], int(start[i]), WINDOW, docs[i][2], docs[i][1], self._new(), 0))
                 start[i] += WINDOW
                 left[i] -= WINDOW
-        index = BlockIndex(docs)
+        index = ShardIndex(docs, self.corpus)
         order, at, seed = np.argsort(-left, kind="stable"), 0, -1
 
         def place(j: int) -> bool:
@@ -303,10 +338,10 @@ class Shard:
         self.current, self.filled = None, 0
 
 
-class BlockIndex:
-    """BM25 over the documents of a block; terms are token ids."""
+class ShardIndex:
+    """BM25 over the documents of a shard, with the figures of the corpus; terms are token ids."""
 
-    def __init__(self, docs: list[tuple]):
+    def __init__(self, docs: list[tuple], corpus: Corpus):
         n = len(docs)
         halves = [np.frombuffer(d[3], np.uint16).reshape(2, -1) for d in docs]
         sizes = np.array([h.shape[1] for h in halves])
@@ -315,9 +350,9 @@ class BlockIndex:
         self.term = np.concatenate([h[0] for h in halves]).astype(np.int64)
         tf = np.concatenate([h[1] for h in halves]).astype(np.float64)
         self.df = np.bincount(self.term, minlength=1 << 16)
-        idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5))
+        idf = np.log1p((corpus.n - corpus.df + 0.5) / (corpus.df + 0.5))
         length = np.array([d[1] for d in docs], float)
-        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (length / length.mean())[of]))
+        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (length / corpus.length)[of]))
         by = np.argsort(self.term, kind="stable")
         self.post_of, self.post_weight, self.ends = of[by], self.weight[by], np.cumsum(self.df)
 
@@ -336,27 +371,26 @@ class BlockIndex:
         return top[np.argsort(-score[top], kind="stable")]
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tokens, crcs, terms) in shard order -> pieces."""
-    shard, held = Shard(TaskContext.get().partitionId()), []
-    for batch in batches:
-        for doc in zip(*(c.to_pylist() for c in batch.columns)):
-            held.append(doc)
-            if len(held) == BLOCK:
-                shard.pack(held)
-                held = []
-                yield from shard.batches()
-    if held:
-        shard.pack(held)
-    shard.close()
-    yield from shard.batches()
+def _packed(corpus: Corpus):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, tokens, crcs, terms), all of a shard -> pieces."""
+        shard = Shard(TaskContext.get().partitionId(), corpus)
+        held = [doc for batch in batches for doc in zip(*(c.to_pylist() for c in batch.columns))]
+        if held:
+            shard.pack(held)
+        shard.close()
+        yield from shard.batches()
+
+    return run
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer_path: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    shards = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4, docs.count() // SHARD_DOCS))
-    tokenised = rows.mapInArrow(_tokenised(tokenizer_path or default_tokenizer()), "doc_id long, key long, tokens long, crcs binary, terms binary")
-    dealt = tokenised.repartition(shards, "key").sortWithinPartitions("key", "doc_id").select("doc_id", "tokens", "crcs", "terms")
-    return dealt.mapInArrow(_packed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    tokenised = rows.mapInArrow(_tokenised(tokenizer_path or default_tokenizer()), "doc_id long, key binary, tokens long, crcs binary, terms binary")
+    tokenised = Scratch(docs.sparkSession, "packing").table(tokenised, "tokenised")
+    corpus = corpus_of(tokenised)
+    shards = max(1, -(-corpus.n // SHARD_DOCS))  # as few as their indexes allow
+    dealt = tokenised.repartitionByRange(shards, "key", "doc_id").sortWithinPartitions("key", "doc_id").select("doc_id", "tokens", "crcs", "terms")
+    return dealt.mapInArrow(_packed(corpus), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -174,6 +174,22 @@ def test_piece_crc():
     assert packing.piece_crc(before, until, np.array([n for _, n in cuts])).tolist() == [zlib.crc32(data[a : a + n]) for a, n in cuts]
 
 
+def test_packing_reaches_the_whole_shard(spark):
+    rng = random.Random(9)
+    words = "stone house river green walk light water small open night road paper glass music winter field".split()
+    topics = [f"{a}{b}" for a in ("zor", "blix", "quam", "trel") for b in ("fa", "fil", "fum", "dax", "nop")]
+    n, per = 3600, 30
+    texts = [" ".join(rng.choice(words) for _ in range(30)) + f" {topics[k % len(topics)]}" * 30 for k in range(n)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    corpus = packing.corpus_of(df.select("doc_id", "text").mapInArrow(packing._tokenised(packing.default_tokenizer()), "doc_id long, key binary, tokens long, crcs binary, terms binary"))
+    assert corpus.n == n and n // 2 < corpus.df.max() <= n and corpus.length > per
+    got = packing.pack(df).toPandas()
+    got["topic"] = got.doc_id % len(topics)
+    kinds = got.groupby("sequence_id").topic.nunique()
+    # documents of a topic fill windows together; blocks would each leave a rest of every topic
+    assert (kinds > 1).sum() <= len(topics) + 2
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
