@@ -76,10 +76,34 @@ def text_or_empty(column: str):
 
 
 #: Up to so many rows of a list of keys are broadcast, more are joined by a shuffle.
-BROADCAST_KEYS = 1 << 21
+BROADCAST_KEYS = 1 << 20
+#: Most keys that are taken for hot; a key with a smaller share of the rows than 1 in so many never is.
+HOT_KEYS = 1 << 16
 
 
 def without(rows: DataFrame, unwanted: DataFrame, condition) -> DataFrame:
     """``rows`` without those that ``condition`` matches to a row of ``unwanted`` (a written table)."""
     small = unwanted.count() <= BROADCAST_KEYS
     return rows.join(F.broadcast(unwanted) if small else unwanted, condition, "left_anti")
+
+
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], n: str = "n", most: int = BROADCAST_KEYS) -> DataFrame:
+    """Left join of ``rows`` to ``table``, a written table with one row per key and the number ``n`` of rows that have it.
+
+    A table of up to ``most`` rows is broadcast.  Of a larger one only the hot keys are, whose
+    number is bounded by their share of the rows; the rest is a shuffle join without hot keys.
+    """
+    size, total = table.agg(F.count("*"), F.sum(n)).first()
+    if size <= most:
+        return rows.join(F.broadcast(table.drop(n)), on, "left")
+    hot = F.col(n) > max(1000, total / HOT_KEYS)
+    few, many = F.broadcast(table.where(hot).drop(n)), table.where(~hot).drop(n)
+    return rows.join(few, on).unionByName(rows.join(F.broadcast(table.where(hot).select(*on)), on, "left_anti").join(many, on, "left"))
+
+
+def free_name(wanted: str, *frames: DataFrame) -> str:
+    """``wanted``, with underscores in front until no frame has such a column (in any case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted

@@ -11,9 +11,14 @@ segments grouped by origin id and ordered by number, the total length verified,
 chunked framing decoded and the payload digest compared.  The chunk encoder cuts any
 record mark inside a payload in two, so a payload cannot fake a record.
 
-Defined cases: null html is an empty payload; equal rows of one id are all responses;
-a null id counts as smaller than any other; missing, repeated or short segments and
-digests that differ raise ``WarcError``.
+Payloads stay where they are: digests are grouped by themselves, and those that occur
+more than once are looked up.  Rows are numbered when they are staged, and record ids are
+made from that number, so that repeated rows have records of their own.
+
+Defined cases: null html is an empty payload; equal rows of one id are all responses
+(revisits refer to one of them); a null id counts as smaller than any other; texts have
+no length limit; other columns are ignored; an empty table gives empty archives; missing,
+repeated or short segments and digests that differ raise ``WarcError``.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare, text_or_empty
+from .common import Scratch, looked_up, prepare, text_or_empty
 
 VERSION = b"WARC/1.1\r\n"
 #: Record mark of the line reader.  It must not repeat its own beginning: the reader looks back no further than its buffer.
@@ -44,8 +49,9 @@ class WarcError(ValueError):
     """A record or a set of segments that does not hold together."""
 
 
-def record_id(page: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page}/{digest}')}>"
+def record_id(row: int, digest: str) -> str:
+    """The id of the record of a staged row."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{row}/{digest}')}>"
 
 
 def digest_column(payload: Column) -> Column:
@@ -103,9 +109,9 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return VERSION + head.encode() + b"Content-Length: %d\r\n\r\n%b\r\n\r\n" % (len(block), block)
 
 
-def page_records(page: int | None, url: str | None, payload: bytes, digest: str, revisits: int | None, revisit: bool) -> Iterator[bytes]:
-    """The records of a page."""
-    own = record_id(page, digest)
+def page_records(row: int, page: int | None, url: str | None, payload: bytes, digest: str, revisits: int | None, revisit: bool) -> Iterator[bytes]:
+    """The records of a page; a revisit refers to the row ``revisits``."""
+    own = record_id(row, digest)
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "urn:none")
     fields = [("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-Id", "" if page is None else page)]
     if revisit:
@@ -131,18 +137,19 @@ def page_records(page: int | None, url: str | None, payload: bytes, digest: str,
             yield _record([*kind, *fields, ("WARC-Segment-Number", 1)], block[a:b])
             continue
         last = [("WARC-Segment-Total-Length", len(block))] if b == len(block) else []
-        part = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page, f"{digest}/{k}")), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", k)]
+        part = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(row, f"{digest}/{k}")), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", k)]
         yield _record(part + last, block[a:b])
 
 
-def write_archives(pages: DataFrame, path: str, page: str = "page_id", url: str = "url", source: str = "html") -> None:
+def write_archives(pages: DataFrame, path: str, scratch: Scratch, page: str = "page_id", url: str = "url", source: str = "html") -> None:
     """Write the records of ``pages`` (page, url, html) to gzip archives under ``path``."""
     prepare(pages.sparkSession)
     rows = pages.select(F.col(page).cast("long").alias("page"), F.col(url).cast("string").alias("url"), F.encode(text_or_empty(source), "UTF-8").alias("payload"))
-    rows = rows.withColumn("digest", digest_column(F.col("payload")))
-    largest = rows.groupBy("digest").agg(F.max("page").alias("largest"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "largest")
-    joined = rows.join(largest, F.col("digest") == F.col("d"), "left").select(
-        "page", "url", "payload", "digest", "largest", (F.col("largest").isNotNull() & ~F.col("page").eqNullSafe(F.col("largest"))).alias("revisit")
+    rows = scratch.table(rows.withColumns({"digest": digest_column(F.col("payload")), "row": F.monotonically_increasing_id()}), "staged")
+    lead = F.max(F.struct("page", "row")).alias("lead")  # nulls sort first
+    copies = scratch.table(rows.groupBy("digest").agg(lead, F.count("*").alias("n")).where("n > 1"), "copies")
+    joined = looked_up(rows, copies, ["digest"]).select(
+        "row", "page", "url", "payload", "digest", F.col("lead.row").alias("revisits"), (F.col("lead").isNotNull() & ~F.col("page").eqNullSafe(F.col("lead.page"))).alias("revisit")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,6 +158,7 @@ def write_archives(pages: DataFrame, path: str, page: str = "page_id", url: str
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
 
     joined.mapInArrow(run, "value string").write.option("compression", "gzip").text(path)
+    scratch.drop("staged", "copies")
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -260,10 +268,14 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def archive_round_trip(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """Write ``pages`` to archives, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     path = scratch.path("archives")
-    write_archives(pages, path)
+    write_archives(pages, path, scratch)
     found = scratch.table(read_pages(pages.sparkSession, path), "pages")
-    originals = found.where("type = 'response'").groupBy(F.col("id").alias("rid")).agg(F.max("page").alias("rpage"), F.max("payload_bytes").alias("rbytes"))
-    revisits = found.where("type = 'revisit'").join(originals, F.col("refers") == F.col("rid"), "left")
+    scratch.drop("archives")
+    revisits = found.where("type = 'revisit'")
+    wanted = revisits.groupBy("refers").agg(F.count("*").alias("n"))
+    originals = found.where("type = 'response'").select(F.col("id").alias("refers"), F.col("page").alias("rpage"), F.col("payload_bytes").alias("rbytes"))
+    originals = scratch.table(wanted.join(originals, "refers"), "originals")
+    revisits = looked_up(revisits, originals, ["refers"])
     columns = lambda size, to: [F.col("page").alias("page_id"), size.alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), to.alias("refers_to")]
     return (
         found.where("type = 'response'").select(*columns(F.col("payload_bytes"), F.lit(None).cast("long"))).unionByName(revisits.select(*columns(F.col("rbytes"), F.col("rpage"))))
