@@ -490,27 +490,31 @@ class ShardIndex:
         keep = pool[self.of]
         return ShardIndex(self.own, self.of[keep], self.term[keep], self.weight[keep], int(np.count_nonzero(pool)))
 
-    def _scored(self, terms: np.ndarray, pool: np.ndarray) -> np.ndarray:
-        """Documents of ``pool`` that hold one of ``terms``, best first."""
+    def _scored(self, terms: np.ndarray, pool: np.ndarray) -> Iterator[int]:
+        """Documents of ``pool`` that hold one of ``terms``, best first; few are wanted mostly, so they are sorted by and by."""
         low, high = np.searchsorted(self.term, terms), np.searchsorted(self.term, terms, "right")
         cuts = [slice(a, b) for a, b in zip(low, high)]
         score = np.bincount(np.concatenate([self.of[c] for c in cuts]), np.concatenate([self.weight[c] for c in cuts]), len(pool))
         score[~pool] = 0
-        found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        found, most = np.flatnonzero(score), 32
+        while len(found):
+            left = score[found]
+            if len(found) > most:
+                by = np.argpartition(-left, most - 1)
+                best, found = found[by[:most]], found[by[most:]]
+            else:
+                best, found = found, found[:0]
+            yield from best[np.lexsort((best, -score[best]))].tolist()
+            most *= 8
 
     def neighbours(self, i: int, pool: np.ndarray) -> Iterator[int]:
         """Documents of ``pool`` that share a term with document ``i``: by its heaviest terms first, then by all."""
         term, weight = self.own[i]
         if len(term) > QUERY_TERMS:
             heaviest = np.sort(term[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]])
-            for j in self._scored(heaviest, pool):
-                if pool[j]:
-                    yield int(j)
+            yield from (j for j in self._scored(heaviest, pool) if pool[j])
         if len(term):
-            for j in self._scored(term, pool):
-                if pool[j]:
-                    yield int(j)
+            yield from (j for j in self._scored(term, pool) if pool[j])
 
 
 def _packed(corpus: Corpus):
