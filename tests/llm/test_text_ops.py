@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import pytest
@@ -116,6 +117,34 @@ def test_chat(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+CONTROL = re.compile(r"<[|｜][^|｜<>\[]*[|｜]>|<<[^<>\[]*>>|</?[A-Za-z0-9_][A-Za-z0-9_.:-]*>|\[/?[A-Z][A-Z0-9_]*\]")
+
+
+def test_chat_escapes_every_control_form(spark):
+    forms = ["<|reserved_special_token_0|>", "<|fim-prefix|>", "<|a b|>", "<｜begin▁of▁sentence｜>", "<<SYS>>", "<</SYS>>", "<eos>", "<pad>", "</tool_call>", "<0x0A>", "[INST]", "[/INST]", "[TOOL_CALLS]", "<<<x>>>", "<|im_end|>"]
+    assert all(CONTROL.search(f) for f in forms)
+    bits = [*forms, "<", ">", "<|", "|>", "[", "]", "\\", "\\\\", "a", " ", "S", "/", "\n", "😀", "<\\eos>", "[\\INST]", "<\\|x|>", "<<\\SYS>>", "<\\<SYS>>"]
+    rng = random.Random(8)
+    texts = [*forms, *("".join(rng.choice(bits) for _ in range(rng.randint(1, 7))) for _ in range(3000))]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escape(F.col("t")).alias("e"), chat.unescape(chat.escape(F.col("t"))).alias("u")).collect()
+    assert [r["u"] for r in got] == [r["t"] for r in got] and not any(CONTROL.search(r["e"]) for r in got)
+    assert len({r["e"] for r in got}) == len(set(texts))
+
+
+def test_chat_mask_fits_the_output(spark):
+    rng = random.Random(9)
+    rows = [(c, t, rng.choice(["user", "assistant", "</s>"]), rng.choice(["", "é<eos>", "[INST] x", "日本 <|a|>", None, "plain text"])) for c in range(40) for t in range(rng.randint(1, 30))]
+    rows += [(99, t, "assistant" if t % 3 else "user", f"é{t}") for t in range(1500)]
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for r in out.withColumn("loss", chat.read_masked(F.col("formatted"), F.col("mask"))).collect():
+        whole = r["formatted"].encode()
+        turns = sorted((t for t in rows if t[0] == r["conv_id"]), key=lambda t: t[1])
+        cut = [whole[m["start"] : m["start"] + m["bytes"]].decode() for m in r["mask"]]
+        assert [re.sub(r"([<\[])\\(\\*)", r"\1\2", c) for c in cut] == [t[3] or "" for t in turns if t[2] == "assistant"]
+        assert r["loss"] == "".join(t[3] or "" for t in turns if t[2] == "assistant")
+        assert all(m["start"] == 0 or whole[: m["start"]].endswith((b"<|body|>", b"<|part|>")) for m in r["mask"])
+
+
 def test_sharding(spark):
     rng = random.Random(3)
     rows = [(k, "x" * rng.randrange(200)) for k in range(400)] + [(1000, "big" * 900)] + [(7777, "y" * 50)] * 60 + [(None, None), (5, "")]
