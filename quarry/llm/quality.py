@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare, without
+from .common import Scratch, free_name, prepare, without
 from .shingles import _BASE, _INVERSE, _power_table, mix64
 from .wordmodel import word_perplexities
 
@@ -274,5 +274,6 @@ def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, quantile: float
 
 def keep_quality(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    bad = scratch.table(judge(docs, labels, scratch).where("not keep").select("doc_id", "h").distinct(), "bad").withColumnsRenamed({"doc_id": "_bid", "h": "_bh"})
-    return without(docs, bad, F.col("doc_id").eqNullSafe(F.col("_bid")) & (F.xxhash64("text") == F.col("_bh")))
+    own, text = free_name("bad_id", docs), free_name("bad_text", docs)
+    bad = scratch.table(judge(docs, labels, scratch).where("not keep").select("doc_id", "h").distinct(), "bad").withColumnsRenamed({"doc_id": own, "h": text})
+    return without(docs, bad, F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(text)))

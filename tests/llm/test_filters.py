@@ -22,7 +22,9 @@ def test_grammar():
     assert plain[0] == 4.0 and aimed[1] == 6.0 and negated[2] == 2.0 and quoted[3] == 2.0
     assert m.features("the vequille and VEQU") == [8.0, 0, 0, 0, 0]
     assert m.features("oxymoron moronic") == [0.0] * 5
-    assert threat == [0.0] * 5 or threat[4] >= 0
+    assert threat == [0.0] * 4 + [0.25]  # paid for once, as someone is threatened
+    assert m.features("you I will kill")[4] == 1.5 and m.features("you moron I will kill")[1] == 6.0
+    assert m.features("kill the lights") == m.features("kill the lights. You know") == [0.0] * 5
     assert m.features(None) == m.features("") == m.features("?! ...") == [0.0] * 5
     assert m.features("x " * 200_000 + "moron")[0] == 4.0
 
@@ -126,9 +128,12 @@ def brute_leaks(docs, items):
     return found
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("block", [20_000, 4])
+def test_decontamination(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", block)
+    monkeypatch.setattr(decontam, "FILTER_BITS", 28 if block > 4 else 20)
     rng = random.Random(4)
-    items = [(k, prose(rng, 8 + 3 * k)) for k in range(15)] + [(50, "two words"), (51, ""), (52, None), (53, "Zebra")]
+    items = [(k, prose(rng, 8 + 3 * k)) for k in range(15)] + [(50, "two words"), (51, ""), (52, None), (53, "Zebra"), (3, "two words")]
     docs = []
     for k in range(60):
         words = prose(rng, rng.randrange(3, 400)).split()
@@ -138,16 +143,27 @@ def test_decontamination(spark):
             words[1:1] = cut
         docs.append((k, " ".join(words)))
     docs += [(100, items[3][1].upper()), (101, None), (102, ""), (103, "a zebra"), (104, prose(rng, 90_000) + " two words"), (None, items[2][1]), (100, items[3][1].upper())]
-    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as containment")
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as containment", "3 as leaked")
     i = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.leaks(d, i).collect()
+    scratch = Scratch(spark, "t")
+    got = decontam.leaks(d, i, scratch).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == brute_leaks(docs, items)
     assert sum(r["doc_id"] == 100 for r in got) >= 2
-    kept = decontam.keep_uncontaminated(d, i)
+    kept = decontam.keep_uncontaminated(d, i, scratch)
     assert kept.columns == d.columns
     assert {r["doc_id"] for r in kept.collect()} == {k for k, _ in docs} - {r["doc_id"] for r in got}
-    assert decontam.leaks(d.limit(0), i).count() == 0 and decontam.leaks(d, i.limit(0)).count() == 0
-    assert decontam.keep_uncontaminated(d, i.limit(0)).count() == len(docs)
+    assert decontam.leaks(d.limit(0), i, scratch).count() == 0 and decontam.leaks(d, i.limit(0), scratch).count() == 0
+    assert decontam.keep_uncontaminated(d, i.limit(0), scratch).count() == len(docs)
+
+
+def test_signature_misses_no_leak():
+    rng = np.random.default_rng(2)
+    for n in [*range(1, 40), 100, 1000]:
+        item = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        sig = decontam.signature(item)
+        least = np.sort(decontam.mix64(item ^ decontam._SECOND))  # the worst document lacks the smallest values
+        lacking = set(sig.tolist())
+        assert len(item) - len(lacking) < decontam.needed(len(item)) and len(lacking) == len(sig) and len(least) == len(item)
 
 
 def sentences(rng, n):
