@@ -43,9 +43,11 @@ SHARD_DOCS, SHARD_TERMS = 32768, 8_000_000
 KEY_TERMS = 8
 #: Heaviest terms by which a seed is looked up first; all others follow when these find no more.
 QUERY_TERMS = 24
+#: Postings added up at once.
+POSTINGS = 1 << 20
 K1, B = 1.2, 0.75
 #: Parts of words whose ids a worker remembers in each of two generations.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 #: Bytes tokenised at once.
 PIECE_BYTES = 1 << 19
 #: New parts of words encoded in one call.
@@ -493,8 +495,12 @@ class ShardIndex:
     def _scored(self, terms: np.ndarray, pool: np.ndarray) -> Iterator[int]:
         """Documents of ``pool`` that hold one of ``terms``, best first; few are wanted mostly, so they are sorted by and by."""
         low, high = np.searchsorted(self.term, terms), np.searchsorted(self.term, terms, "right")
-        cuts = [slice(a, b) for a, b in zip(low, high)]
-        score = np.bincount(np.concatenate([self.of[c] for c in cuts]), np.concatenate([self.weight[c] for c in cuts]), len(pool))
+        score, ends = np.zeros(len(pool)), np.cumsum(high - low)
+        while len(low):  # so many postings at a time that memory does not follow the terms
+            k = max(1, int(np.searchsorted(ends, POSTINGS, "right")))
+            cuts = [slice(a, b) for a, b in zip(low[:k], high[:k])]
+            score += np.bincount(np.concatenate([self.of[c] for c in cuts]), np.concatenate([self.weight[c] for c in cuts]), len(pool))
+            low, high, ends = low[k:], high[k:], ends[k:] - ends[k - 1]
         score[~pool] = 0
         found, most = np.flatnonzero(score), 32
         while len(found):
@@ -520,6 +526,7 @@ class ShardIndex:
 def _packed(corpus: Corpus):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, tokens, crcs, terms), all of a shard -> pieces."""
+        _tokenizers.clear()  # what a worker remembers from the stage before makes room
         shard = Shard(TaskContext.get().partitionId(), corpus)
         held = [doc for batch in batches for doc in zip(*(c.to_pylist() for c in batch.columns))]
         if held:
