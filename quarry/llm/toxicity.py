@@ -12,8 +12,11 @@ weights are learned from a bounded sample of labelled rows (``SAMPLE_TOXIC`` and
 ``SAMPLE_CLEAN``, chosen by a hash of their id); a short fixed list stands in where
 labels say nothing.  Only the text enters a score.
 
+Labels that disagree about an id count as toxic, and of equal or nearly equal texts the
+sample holds the first in order, so that a lost executor changes nothing.
+
 Defined cases: null, empty and wordless texts get the score of a text without
-matches; texts are scored whole; repeated rows are scored each; without labels the
+matches; labels without an id or a value are left out; texts are scored whole; repeated rows are scored each; without labels the
 fixed list and weights are used; other columns are ignored.
 """
 
@@ -38,8 +41,10 @@ from .shingles import shingle_sets
 #: Most labelled rows used to fit, by class.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
 STEM_LENGTHS = (4, 5, 6, 7)
-#: Toxic texts that must hold an entry: so many, and this share of the sample's.
-LEAST_TEXTS, LEAST_SHARE = 5, 0.012
+#: Toxic texts that must hold an entry.
+LEAST_TEXTS = 5
+#: Entries that may be there by chance: of all that are tried, so many would pass.
+CHANCE_ENTRIES = 0.5
 #: Lower bound of the log-odds of an entry.
 LEAST_ODDS = 2.5
 MOST_ENTRIES = 2000
@@ -166,14 +171,13 @@ class Matcher:
         if not hits:
             return found
         places = sorted(hits)
+        ends = [m.span() for m in _CLAUSE_END.finditer(low)]
+        firsts, lasts = [0, *(b for _, b in ends)], [*(a for a, _ in ends), n]
         k = 0
         while k < len(places):
-            first = max(low.rfind(c, 0, places[k]) for c in ".!?;:\n") + 1
-            stop = _CLAUSE_END.search(low, places[k])
-            last = stop.start() if stop else n
-            stop_at = bisect_right(places, last)
-            self._clause(low, first, last, hits, found)
-            k = max(k + 1, stop_at)
+            clause = bisect_right(firsts, places[k]) - 1
+            self._clause(low, firsts[clause], lasts[clause], hits, found)
+            k = max(k + 1, bisect_right(places, lasts[clause]))
         return found
 
     def _clause(self, low: str, first: int, last: int, hits: dict[int, tuple[int, float]], found: list[float]) -> None:
@@ -219,7 +223,7 @@ def held_out(doc_id: Column) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text, toxic of the sample; its size is bounded, so its ids are broadcast."""
-    usable = labels.where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").dropDuplicates(["doc_id"])
+    usable = labels.where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     part = lambda t, n: usable.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = part(1, SAMPLE_TOXIC).unionByName(part(0, SAMPLE_CLEAN))
     return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").where("text is not null")
@@ -252,29 +256,34 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
     """The lexicon and the logistic weights."""
     prior = dict.fromkeys(INSULTS, PRIOR_WEIGHT)
     # one of a group of copies, so that its chance words do not count as many
-    rows = training_rows(docs, labels).mapInArrow(_sketched, "text string, toxic int, least long").dropDuplicates(["least", "toxic"]).select("text", "toxic").persist()
+    rows = training_rows(docs, labels).mapInArrow(_sketched, "text string, toxic int, least long").groupBy("least", "toxic").agg(F.min("text").alias("text")).select("text", "toxic").persist()
     try:
         sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
         if not sizes.get(1) or not sizes.get(0):
             return prior, PRIOR_MODEL
         t, c = F.col("toxic"), F.col("clean")
-        # two standard errors under the smoothed log-odds
-        odds = F.log((t + 0.5) / (sizes[1] + 1.0)) - F.log((c + 0.5) / (sizes[0] + 1.0)) - 2 * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5) - 1 / (F.lit(sizes[0]) + 1.0) - 1 / (F.lit(sizes[1]) + 1.0)) * F.when(c > 0, 1.0).otherwise(0.0)
+        odds = F.log((t + 0.5) / (sizes[1] + 1.0)) - F.log((c + 0.5) / (sizes[0] + 1.0))
+        share = sizes[1] / (sizes[0] + sizes[1])  # of the texts that are toxic
+        surprise = t * F.log(t / (t + c) / share) + F.when(c > 0, c * F.log(c / (t + c) / (1 - share))).otherwise(0.0)
+        tried = rows.mapInArrow(_stems, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        tried = tried.where(t + c >= LEAST_TEXTS).persist()
+        # Chernoff bound of the binomial tail, for each of the entries that are tried
+        least = math.log(max(1, tried.count()) / CHANCE_ENTRIES)
         entries = (
-            rows.mapInArrow(_stems, "entry string, toxic long, clean long")
-            .groupBy("entry")
-            .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-            .where(t >= max(LEAST_TEXTS, LEAST_SHARE * sizes[1]))
+            tried.where(t >= LEAST_TEXTS)
+            .withColumn("surprise", F.round(surprise, 6))
+            .where(F.col("surprise") >= least)
             .withColumn("odds", odds)
             .where(F.col("odds") >= LEAST_ODDS)
             .where(t >= 4 * c * sizes[1] / sizes[0])
-            .orderBy(F.desc("toxic"), F.desc(F.length("entry")), "entry")
+            .orderBy(F.desc("surprise"), F.desc(F.length("entry")), "entry")
             .limit(MOST_ENTRIES)
             .collect()
         )
+        tried.unpersist()
         lexicon: dict[str, float] = {}
         stems: dict[str, str] = {}
-        for r in entries:  # from common to rare: an entry that a kept one covers adds nothing
+        for r in entries:  # the surest first: an entry that a kept one covers adds nothing
             base = r["entry"].rstrip("*")
             if any(base[:k] in stems for k in range(2, len(base) + 1)) or any(kept.startswith(base) for kept in stems):
                 continue
