@@ -6,32 +6,31 @@ shingles.  Steps:
 1. Equal sets are found by a 128-bit fingerprint and stand behind one representative.
 2. Shingles are ordered: rare ones by hash, then the very common ones (``hot``).  Any
    total order gives right results; this one keeps common passages out of the keys.
-   Linked sets must share one of the first |A| - ceil(3/4 |A|) + 1 shingles of that
-   order.  Long prefixes need not be spelled out: if a share t of a set is rare, then
-   at least 1 - 1/(4t) of the rare shingles of A or B are in both for every linked B,
-   so the first k rare shingles by hash miss a link with a chance of at most
-   (1/(4t))**k; k is the smallest for which that is under ``MISS`` = 1e-14, whatever
-   the data.  Sets of up to about 90 shingles always spell out the whole prefix.
-3. Per key, sets fall into tiles by size band (ratio 4/3: partners are in the same or
-   the next band).  Each set is first paired with the tile's first set, then in some
-   rounds with one drawn from the tile, if that is in another component; when these
-   links are merged, all sets of a key that are still in different components are paired,
-   at the smallest key they share.
+   Linked sets share one of the first |A| - ceil(3/4 |A|) + 1 shingles of that order,
+   and all of these are a set's keys, so no link is missed.
+3. Per key, some sets are drawn as centres; the others are paired with them, each at the
+   first few of its keys (``FIRST``).  When the links among these pairs are merged, all
+   sets of a key that are still in different components are paired, tile by tile: a key
+   of many sets is dealt to tiles of ``TILE`` sets each, and every pair of tiles is a group
+   of its own, in which sizes (ratio 4/3 at most) bound the rows that are compared.
+   Keys that list the same sets count once, and of the keys that two sets have among
+   their first ones only the smallest makes the pair.
 4. A pair passes if the bit counts of two folded parity bitmaps allow the overlap:
    |A & B| <= (|A| + |B| - popcount(a xor b)) / 2.
 5. Exact intersection of sorted arrays.
 
-No list of a key, component or pair is collected; keys are streamed in sorted order.
+No list of a key, component or pair is collected.  The result is the components: pairs
+that are already in one component are not tested, so neither the links inside it nor
+their number are known.
 
 Defined cases: texts that are null, empty or white space have no shingles and link
 with nothing; texts under five words have one shingle, the whole sequence; rows with a
-null id get a null component; rows sharing an id are one node; other columns are
-ignored; an empty table gives an empty result.
+null id get a null component and link nothing; rows sharing an id are one node; texts have
+no length limit; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,25 +38,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare, without
+from .common import Scratch, free_name, looked_up, prepare, without
 from .components import connected_components
 from .shingles import mix64, shingle_sets
 
 LINK = 75
-MISS = 1e-14
 #: A shingle is hot from this many texts on, if one task sees it this often at least.
 HOT_TEXTS, HOT_SEEN = 48, 3
 #: Most hot shingles kept (the most frequent ones); it bounds the broadcast, not the result.
 HOT_MOST = 1 << 19
-#: Rounds of further stars before sets of different components are paired one by one.
-ROUNDS = 1
+#: Keys of a set at which it meets centres, and centres drawn per key.
+FIRST, CENTRES = 8, 3
+#: Sets of a key in a tile.
+TILE = 4096
 #: Up to so many ids of candidates are broadcast to the texts, more are joined by a shuffle.
-BROADCAST_IDS = 1 << 21
+BROADCAST_IDS = 1 << 20
 #: Shingles counted at once in a task.
 BLOCK = 4 << 20
 BITS_LEAST, BITS_MOST, BITS_EACH = 64, 1 << 17, 4
-_BAND = math.log(4 / 3)
-_TRIES = -math.log(MISS)
+#: Bytes of the smaller bitmaps that travel with each key.
+SMALL_LEAST, SMALL_MOST = 64, 512
 
 
 def _long_list(arrays: list[np.ndarray]) -> pa.Array:
@@ -97,24 +97,16 @@ def prefix_length(n: int) -> int:
     return n - (LINK * n + 99) // 100 + 1
 
 
-def _tries(n: int, share: float) -> int:
-    return n if 4 * share <= 1.001 else min(n, math.ceil(_TRIES / math.log(4 * share)))
-
-
 def keys_of(found: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """The keys under which a set is listed (see step 2)."""
-    n = len(found)
-    need = prefix_length(n)
+    need = prefix_length(len(found))
     if len(hot):
         at = np.searchsorted(hot, found)
         at[at == len(hot)] = 0
         common = hot[at] == found
-        rare, often = found[~common], found[common]
-    else:
-        rare, often = found, found[:0]
-    if len(rare) >= need:
-        return rare[: _tries(need, len(rare) / n)]
-    return np.concatenate([rare, often[: _tries(need - len(rare), len(often) / n)]])
+        if common.any():
+            return np.concatenate([found[~common], found[common]])[:need]
+    return found[:need]
 
 
 def bitmap_of(found: np.ndarray) -> bytes:
@@ -136,6 +128,12 @@ def _folded(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
+def small_bitmap(bits: bytes) -> bytes:
+    """The bitmap folded to about a bit a shingle."""
+    size = min(len(bits), max(SMALL_LEAST, min(SMALL_MOST, len(bits) // BITS_EACH)))
+    return _folded(np.frombuffer(bits, np.uint8), size).tobytes()
+
+
 def may_link(n: int, m: int, a: bytes, b: bytes) -> bool:
     """Whether the bitmaps allow a link between sets of ``n`` and ``m`` shingles."""
     if 100 * min(n, m) < LINK * max(n, m):
@@ -165,86 +163,50 @@ def hot_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, hot: np.ndarray) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint of the set), keys, bits of each row of ``texts`` (doc_id, text)."""
+    """doc_id, n, f1, f2 (fingerprint of the set), keys, bits, small of each row of ``texts`` (doc_id, text)."""
     shared = texts.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
-            n, f1, f2, keys, bits = [], [], [], [], []
+            n, f1, f2, keys, bits, small = [], [], [], [], [], []
             for _, found in shingle_sets(batch.column(1)):
                 n.append(len(found))
                 f1.append(int(mix64(found).sum(dtype=np.uint64)) if len(found) else 0)
                 f2.append(int((mix64(found ^ np.uint64(0xA5A5A5A55A5A5A5A)) * (found | np.uint64(1))).sum(dtype=np.uint64)) if len(found) else 0)
                 keys.append(keys_of(found, often) if len(found) else found)
                 bits.append(bitmap_of(found) if len(found) else b"")
+                small.append(small_bitmap(bits[-1]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), _long_list(keys), pa.array(bits, pa.binary())],
-                names=["doc_id", "n", "f1", "f2", "keys", "bits"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), _long_list(keys), pa.array(bits, pa.binary()), pa.array(small, pa.binary())],
+                names=["doc_id", "n", "f1", "f2", "keys", "bits", "small"],
             )
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>, bits binary")
-
-
-def _bands(n: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(np.maximum(n, 1)) / _BAND + 1e-9).astype(np.int64)
-
-
-def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, n, node) sorted by key, n, node: rows of shared keys, with the first node of their tile."""
-    held = None  # the last row, whose successor is not known yet: key, n, node, lead, opens
-    names = ["key", "n", "node", "lead"]
-
-    def out(cols: tuple[np.ndarray, ...], keep: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=names)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, n, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        if held is not None:
-            key, n, node = (np.concatenate([[h], c]) for h, c in zip(held, (key, n, node)))
-        opens = np.ones(len(key), bool)
-        opens[1:] = key[1:] != key[:-1]
-        band = _bands(n)
-        tile = opens.copy()
-        tile[1:] |= band[1:] != band[:-1]
-        first = np.maximum.accumulate(np.where(tile, np.arange(len(key)), 0))
-        lead = node[first]
-        if held is not None:  # the held row knows its own tile
-            opens[0] = held[4]
-            same = first == 0
-            lead[same] = held[3]
-        shared = ~opens
-        shared[:-1] |= ~opens[1:]
-        held = (key[-1], n[-1], node[-1], lead[-1], opens[-1])
-        shared[-1] = False
-        yield out((key, n, node, lead), shared)
-    if held is not None and not held[4]:
-        yield out(tuple(np.array([h]) for h in held[:4]), np.ones(1, bool))
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>, bits binary, small binary")
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, n, node, comp, bits, keys) sorted by key, n: pairs of one key in different components that sizes and bitmaps allow.
+    """Rows (key, i, j, n, tile, node, comp, small, firsts) sorted by the first four: pairs of tiles i and j.
 
-    A pair that shares several keys is made at the smallest of them only.
+    A pair is of different components, and sizes and bitmaps allow it.  Sets that share several of their
+    first keys are paired at the smallest of these only.
     """
     held: list[np.ndarray] | None = None
 
     def allowed(n: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        size = min(len(bits[0]), len(bits[-1]))  # sizes rise, so do widths
-        flat = np.stack([_folded(np.frombuffer(b, np.uint8), size) for b in bits]).view(np.uint64)
+        size = min(map(len, (bits[0], bits[-1])))  # sizes rise, so do widths
+        flat = np.stack([_folded(np.frombuffer(b, np.uint8), size) for b in bits]).view(np.uint64 if size % 8 == 0 else np.uint8)
         most = (n[i] + n[j] - np.bitwise_count(flat[i] ^ flat[j]).sum(axis=1, dtype=np.int64)) // 2
         return (100 + LINK) * most >= LINK * (n[i] + n[j])
 
-    def pairs(key: int, n: np.ndarray, node: np.ndarray, comp: np.ndarray, bits: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(key: int, same: bool, n: np.ndarray, tile: np.ndarray, node: np.ndarray, comp: np.ndarray, bits: np.ndarray, firsts: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(n) < 2 or (comp == comp[0]).all():
             return
-        smaller: dict[int, frozenset] = {}  # row -> its keys under this one
+        smaller: dict[int, frozenset] = {}  # row -> those of its first keys that are under this one
 
         def earlier(r: int) -> frozenset:
             if r not in smaller:
-                own = np.asarray(keys[r])
+                own = np.asarray(firsts[r])
                 smaller[r] = frozenset(own[own < key].tolist())
             return smaller[r]
 
@@ -253,6 +215,8 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = min(len(n), a + 128)
             lo = int(low[a])
             near = (np.arange(lo, b)[None, :] < np.arange(a, b)[:, None]) & (np.arange(lo, b)[None, :] >= low[a:b, None]) & (comp[lo:b][None, :] != comp[a:b][:, None])
+            if not same:
+                near &= tile[lo:b][None, :] != tile[a:b][:, None]
             i, j = np.nonzero(near)
             for k in range(0, len(i), 1 << 16):
                 at, to = i[k : k + (1 << 16)] + a - lo, j[k : k + (1 << 16)]
@@ -262,18 +226,22 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x, y = node[lo:b][at[good]], node[lo:b][to[good]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
+    def group(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        return pairs(cols[0][0], cols[1][0] == cols[2][0], *cols[3:])
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
         if held is not None:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
-        cuts = np.concatenate([[0], np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1])
+        new = np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)
+        cuts = np.concatenate([[0], np.flatnonzero(new) + 1])
         for s, e in zip(cuts[:-1], cuts[1:]):
-            yield from pairs(cols[0][s], *(c[s:e] for c in cols[1:]))
+            yield from group([c[s:e] for c in cols])
         held = [c[cuts[-1] :] for c in cols]
     if held is not None:
-        yield from pairs(held[0][0], *held[1:])
+        yield from group(held)
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,64 +288,60 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", t
     prepare(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sigs = scratch.table(signatures(texts, hot_shingles(texts)), "signatures")
-    classes = sigs.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"))
-    members = scratch.table(sigs.select("doc_id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"], "left").select("doc_id", "n", "node"), "members")
-    nodes = members.where("doc_id = node").select("doc_id").distinct()
-    own = scratch.table(sigs.where("n > 0").join(nodes, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "keys", "bits"), "own")
-    scratch.drop("signatures")
-
-    rows = own.select(F.explode("keys").alias("key"), "n", "node")
-    listed = scratch.table(
-        rows.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_tiled, "key long, n long, node long, lead long"), "listed"
-    )
+    classes = sigs.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows"))
+    classes = scratch.table(classes, "classes")
+    own = scratch.table(sigs.where("n > 0").join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "keys", "bits", "small"), "own")
+
+    rows = own.select(F.posexplode("keys").alias("pos", "key"), "n", "node").select("key", "n", "node", (F.col("pos") < FIRST).alias("first"))
+    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n")).alias(f"c{k}") for k in range(CENTRES)]
+    shared = rows.groupBy("key").agg(F.count("*").alias("m"), *drawn).where("m > 1")
+    centres = F.array(*[F.struct(f"c{k}.node", f"c{k}.n") for k in range(CENTRES)])
+    listed = scratch.table(rows.join(shared, "key").select("key", "n", "node", F.when(F.col("first"), centres).alias("centres")), "listed")
+    fits = (F.col("c.node") != F.col("node")) & (100 * F.least("n", "c.n") >= LINK * F.greatest("n", "c.n"))
+    stars = listed.where("centres IS NOT NULL").select("n", "node", F.explode("centres").alias("c")).where(fits)
+    stars = scratch.table(stars.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct(), "stars")
     sizes = own.select("node", "n", "bits")
-    stars = listed.where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    stars = scratch.table(stars, "stars")
     near = verified(stars, sizes, texts, scratch, "stars")
-    tried = stars
-    band = F.floor(F.log("n") / _BAND + 1e-9)
-    for k in range(ROUNDS + 1):
-        merged = scratch.table(connected_components(near, scratch, f"merged-{k}"), f"merged-{k}")
-        known = listed.join(merged, "node", "left").select("key", "n", "node", F.coalesce("comp", "node").alias("comp"))
-        mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        known = known.join(mixed, "key", "left_semi")
-        if k == ROUNDS:
-            break
-        # stars again around other sets of the tiles, between components only
-        tiles = known.withColumn("band", band)
-        leads = tiles.groupBy("key", "band").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "comp")).alias("lead"))
-        again = tiles.join(leads, ["key", "band"]).where(F.col("comp") != F.col("lead.comp"))
-        again = again.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        again = scratch.table(again, f"stars-{k}")
-        if again.isEmpty():
-            break
-        more = verified(again, sizes, texts, scratch, f"stars-{k}")
-        near, tried = near.unionByName(more), tried.unionByName(again)
-        if more.isEmpty():  # the components stay as they are
-            break
+
+    merged = connected_components(near, scratch, "merged")
+    known = scratch.table(listed.select("key", "n", "node").join(merged, "node", "left").select("key", "n", "node", F.coalesce("comp", "node").alias("comp")), "known")
+    prints = [F.expr(f"bit_xor(xxhash64(node, {k}))").alias(f"p{k}") for k in (1, 2)]
+    mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), *prints).where("x <> y")
+    mixed = mixed.groupBy("m", "p1", "p2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
+    tiled = known.join(mixed, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = tiled.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "n", "tile", "node", "comp")
     crossing = (
-        known.join(own.select("node", "bits", "keys"), "node")
-        .repartition("key")
-        .sortWithinPartitions("key", "n", "node")
-        .select("key", "n", "node", "comp", "bits", "keys")
+        tiled.join(own.select("node", "small", F.slice("keys", 1, FIRST).alias("firsts")), "node")
+        .repartition("key", "i", "j")
+        .sortWithinPartitions("key", "i", "j", "n", "node")
+        .select("key", "i", "j", "n", "tile", "node", "comp", "small", "firsts")
         .mapInArrow(_crossing, "a long, b long")
         .distinct()
-        .join(tried, ["a", "b"], "left_anti")
+        .join(stars, ["a", "b"], "left_anti")
     )
     more = verified(scratch.table(crossing, "crossing"), sizes, texts, scratch, "crossing")
-    comps = scratch.table(connected_components(near.unionByName(more), scratch, "all"), "comps")
-    scratch.drop("listed", "stars", "crossing", "own", *(f"{x}-{k}" for x in ("merged", "stars") for k in range(ROUNDS + 1)))
-    return members.join(comps, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "node", "doc_id").alias("component_id")
-    )
+    comps = connected_components(near.unionByName(more), scratch, "all")
+    of_class = classes.join(comps, "node", "left").select("f1", "f2", "n", "rows", F.coalesce("comp", "node").alias("comp"))
+    of_class = scratch.table(of_class, "of-class")
+    scratch.drop("listed", "stars", "crossing", "known", "own", "classes")
+    members = looked_up(sigs.select("doc_id", "f1", "f2", "n"), of_class, ["f1", "f2", "n"], "rows")
+    # a null id stays null
+    return members.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row of each group of linked texts (that with the smallest id), with all columns; rows with a null id stay."""
+    """One row of each group of linked texts (that with the smallest id), with all columns; rows with a null id stay.
+
+    Of rows that share the id, the first by a hash of all their columns stays.
+    """
     found = scratch.table(jaccard_components(docs, scratch), "groups")
-    others = scratch.table(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct(), "others")
-    kept = without(docs, others, F.col("doc_id") == F.col("_other"))
-    again = scratch.table(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "again")
+    mark = free_name("other", docs)
+    others = scratch.table(found.where("doc_id <> component_id").select(F.col("doc_id").alias(mark)).distinct(), "others")
+    kept = without(docs, others, F.col("doc_id") == F.col(mark))
+    again = scratch.table(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(mark)), "again")
     if again.isEmpty():
         return kept
-    return without(kept, again, F.col("doc_id") == F.col("_again")).unionByName(kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]))
+    whole = F.struct(*docs.columns)
+    few = kept.join(again, F.col("doc_id") == F.col(mark), "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row"))
+    return without(kept, again, F.col("doc_id") == F.col(mark)).unionByName(few.select("row.*"))

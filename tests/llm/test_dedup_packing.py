@@ -69,11 +69,13 @@ def near_copies(rng, n=260):
     return docs + [None, "", "  ", "x", "X", "One two", docs[0], docs[0].upper()]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_join(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "tile", "first"), [(1, 4096, 8), (2, 5, 1)])
+def test_jaccard_join(spark, seed, tile, first, monkeypatch):
     monkeypatch.setattr(jaccard, "HOT_TEXTS", 20)
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "FIRST", first)  # so few centres that most links are found in the tiles
     texts = near_copies(random.Random(seed))
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").selectExpr("*", "1 as n", "2 as node", "3 as key").repartition(3)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").selectExpr("*", "1 as n", "2 as node", "3 as key", "4 as other").repartition(3)
     sets = [shingles(t) for t in texts]
     links = [(a, b) for a, b in combinations(range(len(texts)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     want = find_all(range(len(texts)), links)
@@ -89,7 +91,7 @@ def test_jaccard_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, long), (3, long + " x"), (4, None), (4, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = jaccard.jaccard_components(df, Scratch(spark, "t")).collect()
-    assert len(got) == len(rows) and {r["doc_id"]: r["component_id"] for r in got if r["doc_id"]} == {1: 1, 2: 2, 3: 2, 4: 4}
+    assert len(got) == len(rows) and {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 2, 4: 4, None: None}
     kept = sorted(str(r["doc_id"]) for r in jaccard.keep_one(df, Scratch(spark, "t")).collect())
     assert kept == ["1", "2", "4", "None"]
     assert jaccard.jaccard_components(df.limit(0), Scratch(spark, "t")).count() == 0
@@ -108,12 +110,13 @@ def test_key_and_bitmap_bounds():
                 assert set(jaccard.keys_of(a, hot).tolist()) & set(jaccard.keys_of(b, hot).tolist())
 
 
-def test_components(spark):
+@pytest.mark.parametrize("last", [0, 20, 1 << 20])
+def test_components(spark, last):
     rng = random.Random(8)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 180)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(5, 5)]
     df = spark.createDataFrame([*edges, edges[0]], "a long, b long")
     want = find_all({n for e in edges for n in e}, edges)
-    got = {r["node"]: r["comp"] for r in connected_components(df, Scratch(spark, "t")).collect()}
+    got = {r["node"]: r["comp"] for r in connected_components(df, Scratch(spark, "t"), last_edges=last).collect()}
     assert got == {n: c for n, c in want.items() if any(n in e and e[0] != e[1] for e in edges)}
     assert connected_components(df.limit(0), Scratch(spark, "t")).count() == 0
 
