@@ -288,23 +288,26 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", t
     prepare(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sigs = scratch.table(signatures(texts, hot_shingles(texts)), "signatures")
-    classes = sigs.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows"))
+    members = scratch.table(sigs.select("doc_id", "f1", "f2", "n"), "members")
+    classes = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows"))
     classes = scratch.table(classes, "classes")
-    own = scratch.table(sigs.where("n > 0").join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "keys", "bits", "small"), "own")
+    nodes = classes.select(F.col("node").alias("doc_id"))
+    nodes = F.broadcast(nodes) if classes.count() <= BROADCAST_IDS else nodes
+    own = scratch.table(sigs.where("n > 0").join(nodes, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "keys", "bits", "small"), "own")
+    scratch.drop("signatures")
 
-    rows = own.select(F.posexplode("keys").alias("pos", "key"), "n", "node").select("key", "n", "node", (F.col("pos") < FIRST).alias("first"))
+    first = own.select(F.explode(F.slice("keys", 1, FIRST)).alias("key"), "n", "node").repartition("key")
     drawn = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n")).alias(f"c{k}") for k in range(CENTRES)]
-    shared = rows.groupBy("key").agg(F.count("*").alias("m"), *drawn).where("m > 1")
-    centres = F.array(*[F.struct(f"c{k}.node", f"c{k}.n") for k in range(CENTRES)])
-    listed = scratch.table(rows.join(shared, "key").select("key", "n", "node", F.when(F.col("first"), centres).alias("centres")), "listed")
+    centres = first.groupBy("key").agg(F.count("*").alias("m"), *drawn).where("m > 1").select("key", F.array(*[F.struct(f"c{k}.node", f"c{k}.n") for k in range(CENTRES)]).alias("centres"))
     fits = (F.col("c.node") != F.col("node")) & (100 * F.least("n", "c.n") >= LINK * F.greatest("n", "c.n"))
-    stars = listed.where("centres IS NOT NULL").select("n", "node", F.explode("centres").alias("c")).where(fits)
+    stars = first.join(centres, "key").select("n", "node", F.explode("centres").alias("c")).where(fits)
     stars = scratch.table(stars.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct(), "stars")
     sizes = own.select("node", "n", "bits")
     near = verified(stars, sizes, texts, scratch, "stars")
 
+    # every key of every set, dealt once; only keys with several components go on
     merged = connected_components(near, scratch, "merged")
-    known = scratch.table(listed.select("key", "n", "node").join(merged, "node", "left").select("key", "n", "node", F.coalesce("comp", "node").alias("comp")), "known")
+    known = own.select("node", "n", "keys").join(merged, "node", "left").select(F.explode("keys").alias("key"), "n", "node", F.coalesce("comp", "node").alias("comp")).repartition("key")
     prints = [F.expr(f"bit_xor(xxhash64(node, {k}))").alias(f"p{k}") for k in (1, 2)]
     mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), *prints).where("x <> y")
     mixed = mixed.groupBy("m", "p1", "p2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
@@ -324,10 +327,10 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", t
     comps = connected_components(near.unionByName(more), scratch, "all")
     of_class = classes.join(comps, "node", "left").select("f1", "f2", "n", "rows", F.coalesce("comp", "node").alias("comp"))
     of_class = scratch.table(of_class, "of-class")
-    scratch.drop("listed", "stars", "crossing", "known", "own", "classes")
-    members = looked_up(sigs.select("doc_id", "f1", "f2", "n"), of_class, ["f1", "f2", "n"], "rows")
+    scratch.drop("stars", "crossing", "own", "classes")
+    found = looked_up(members, of_class, ["f1", "f2", "n"], "rows")
     # a null id stays null
-    return members.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
