@@ -43,9 +43,10 @@ class Binary(Node):
 class Agg(Node):
     fn: str  # COUNT SUM MIN MAX AVG
     arg: Col | None  # None is *
+    distinct: bool = False
 
     def __str__(self) -> str:
-        return f"{self.fn}({self.arg.name if self.arg else '*'})"
+        return f"{self.fn}({'DISTINCT ' if self.distinct else ''}{self.arg.name if self.arg else '*'})"
 
 
 @dataclass(frozen=True)
@@ -67,6 +68,15 @@ class InList(Node):
     values: tuple[Node, ...]
 
 
+@dataclass(frozen=True)
+class InSelect(Node):
+    """``arg`` among the only column of a SELECT; without ``arg``: whether it has a row."""
+
+    arg: Node | None
+    select: Node  # Select
+    negated: bool = False
+
+
 @dataclass(frozen=True)
 class Between(Node):
     arg: Node
@@ -124,6 +134,20 @@ class Select(Node):
     order_by: tuple[tuple[Node, bool], ...] = ()  # expression, descending
     limit: int | None = None
     distinct: bool = False
+    offset: int = 0
+
+
+@dataclass(frozen=True)
+class SetOperation(Node):
+    """Two SELECTs whose columns pair by position; ORDER BY (by column name or number) and LIMIT hold for the result."""
+
+    op: str  # UNION, INTERSECT or EXCEPT
+    every: bool  # ALL
+    left: Node
+    right: Node
+    order_by: tuple[tuple[Node, bool], ...] = ()
+    limit: int | None = None
+    offset: int = 0
 
 
 @dataclass(frozen=True)
@@ -166,13 +190,15 @@ class DropIndex(Node):
 
 @dataclass(frozen=True)
 class Checkpoint(Node):
-    pass
+    restore: int | None = None  # a version to go back to
 
 
 @dataclass(frozen=True)
 class Insert(Node):
     table: str
-    values: tuple[object, ...]
+    rows: tuple[tuple[object, ...], ...] = ()
+    columns: tuple[str, ...] | None = None  # None is all
+    select: Node | None = None  # in place of rows
 
 
 @dataclass(frozen=True)

@@ -49,17 +49,69 @@ def check_unique(catalog: Catalog, table: Table, new: DataFrame) -> None:
             raise UniqueCheckError
 
 
-def insert(catalog: Catalog, table: Table, values: tuple[object, ...]) -> Table:
-    if len(values) != len(table.columns):
+def _places(table: Table, columns: tuple[str, ...] | None) -> list[int]:
+    """The places in ``table`` of the columns of an INSERT."""
+    names = [c for c, _, _ in table.columns]
+    for c in columns or ():
+        if c not in names:
+            raise ColumnNotFoundError(c)
+    if len(set(columns or ())) < len(columns or ()):
         raise InvalidValueCountError
-    row = tuple(coerce(v, kind, n) for v, (_, kind, n) in zip(values, table.columns))
-    new = catalog.spark.createDataFrame([row], table.schema)
+    return [names.index(c) for c in columns or names]
+
+
+def insert(catalog: Catalog, table: Table, rows: tuple[tuple[object, ...], ...], columns: tuple[str, ...] | None = None) -> Table:
+    """Add rows of literals; columns that are not named are NULL."""
+    places, made = _places(table, columns), []
+    for values in rows:
+        if len(values) != len(places):
+            raise InvalidValueCountError
+        row: list[object] = [None] * len(table.columns)
+        for k, v in zip(places, values):
+            row[k] = coerce(v, *table.columns[k][1:])
+        made.append(tuple(row))
+    new = catalog.spark.createDataFrame(made, table.schema)
     check_unique(catalog, table, new)
     return replace(table, files=table.files + catalog.add_files(table, new.coalesce(1)))
 
 
+def insert_frame(catalog: Catalog, table: Table, rows: DataFrame, columns: tuple[str, ...] | None = None) -> Table:
+    """Add the rows of a query, whose columns go by position."""
+    places = _places(table, columns)
+    if len(rows.columns) != len(places):
+        raise InvalidValueCountError
+    named, kinds = rows.toDF(*[f"c{k}" for k in range(len(places))]), [t for _, t in rows.dtypes]
+    made = []
+    for k, (name, kind, length) in enumerate(table.columns):
+        if k not in places:
+            made.append(F.lit(None).cast(table.schema[name].dataType).alias(name))
+            continue
+        at = places.index(k)
+        if (kind == "CHAR") != (kinds[at] == "string"):
+            raise IncompatibleTypeError(kind, kinds[at])
+        made.append(_assigned(F.col(f"c{at}"), kind, length, False).alias(name))
+    try:
+        added = catalog.add_files(table, named.select(*made))
+        if table.keys:
+            check_unique(catalog, table, catalog.frame(replace(table, files=added)))
+    except PySparkException as e:
+        raise EvaluationError(str(e).split("\n")[0]) from e
+    return replace(table, files=table.files + added)
+
+
+def ordered(rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """Rows in files of their own key ranges, so that a lookup by the key's first columns skips files and row groups."""
+    return rows.repartitionByRange(*key).sortWithinPartitions(*key)
+
+
+def clustered(catalog: Catalog, table: Table, key: tuple[str, ...]) -> Table:
+    """``table`` with its files written again in the order of ``key``."""
+    return replace(table, files=catalog.add_files(table, ordered(catalog.frame(table), key))) if table.files else table
+
+
 def load(catalog: Catalog, table: Table, path: str) -> Table:
     new = read_rows(catalog.spark, path, table)
+    new = ordered(new, table.keys[0]) if table.keys else new
     added = catalog.add_files(table, new)
     if table.keys:
         check_unique(catalog, table, catalog.frame(replace(table, files=added)))

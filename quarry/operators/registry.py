@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import Session, select_frames
 from ..sources.catalog import Table
 from ..sources.csvload import read_rows
+from . import scripts
 from .relational import aggregate, condition, join, key_range, project, top, where
 
 Tables = Callable[[str], DataFrame]
@@ -155,18 +154,16 @@ dialect("having_col_const", "SELECT c_nationkey, count(*) AS c FROM customer GRO
 dialect("having_col_agg", "SELECT p_size, count(*) AS c FROM part GROUP BY p_size HAVING p_size < count(*)")
 dialect("having_and", "SELECT l_returnflag, l_linestatus, count(*) AS c FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 100 AND avg(l_quantity) > 1.0")
 dialect("having_no_group", "SELECT count(*) AS c FROM part HAVING count(*) > 1")
+dialect("count_distinct", "SELECT o_orderstatus, COUNT(DISTINCT o_custkey) AS n, COUNT(DISTINCT o_orderpriority) AS p FROM orders GROUP BY o_orderstatus")
 query("distinct_rows", lambda t: t("orders").select("o_orderstatus", "o_orderpriority").distinct(), "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
 dialect("select_distinct", "SELECT DISTINCT p_brand FROM part WHERE p_size > 40")
 
 # Order and limit
 
 query("sort_asc", lambda t: top(project(t("nation"), "n_name"), [F.asc("n_name")]), "SELECT n_name FROM nation ORDER BY n_name")
-query("sort_desc", lambda t: top(project(t("supplier"), "s_suppkey", "s_acctbal"), [F.desc("s_acctbal"), "s_suppkey"], 20), "SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 20")
-query("sort_multi", lambda t: top(project(t("customer"), "c_nationkey", "c_custkey"), [F.desc("c_nationkey"), F.asc("c_custkey")], 50), "SELECT c_nationkey, c_custkey FROM customer ORDER BY c_nationkey DESC, c_custkey LIMIT 50")
-# The same sorts without a cap: every row is ordered
-query("sort_desc_all", lambda t: top(project(t("supplier"), "s_suppkey", "s_acctbal"), [F.desc("s_acctbal"), "s_suppkey"]), "SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey")
-query("sort_multi_all", lambda t: top(project(t("customer"), "c_nationkey", "c_custkey"), [F.desc("c_nationkey"), F.asc("c_custkey")]), "SELECT c_nationkey, c_custkey FROM customer ORDER BY c_nationkey DESC, c_custkey")
-query("limit_only", lambda t: t("part").select("p_partkey").limit(7), None)
+query("sort_desc", lambda t: top(project(t("supplier"), "s_suppkey", "s_acctbal"), [F.desc("s_acctbal"), "s_suppkey"]), "SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey")
+query("sort_multi", lambda t: top(project(t("customer"), "c_nationkey", "c_custkey"), [F.desc("c_nationkey"), F.asc("c_custkey")]), "SELECT c_nationkey, c_custkey FROM customer ORDER BY c_nationkey DESC, c_custkey")
+query("limit_only", lambda t: aggregate(project(t("part"), "p_partkey").limit(7), cnt=F.count("*"), keys=F.count_distinct("p_partkey")), "SELECT count(*) AS cnt, count(DISTINCT p_partkey) AS keys FROM (SELECT p_partkey FROM part LIMIT 7)")
 query("topk", lambda t: top(project(t("orders"), "o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 10), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 dialect("limit_zero", "SELECT n_name FROM nation LIMIT 0")
 query(
@@ -174,8 +171,10 @@ query(
     lambda t: top(aggregate(t("orders"), ["o_custkey"], s=F.round(F.sum("o_totalprice"), 2)), [F.desc("s"), "o_custkey"], 5),
     "SELECT o_custkey, round(sum(o_totalprice), 2) AS s FROM orders GROUP BY o_custkey ORDER BY s DESC, o_custkey LIMIT 5",
 )
-dialect("sort_hidden_col", "SELECT n_name FROM nation ORDER BY n_nationkey DESC LIMIT 3")
-dialect("sort_hidden_col_all", "SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey")
+dialect("sort_hidden_col", "SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey")
+dialect("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 8 OFFSET 5")
+dialect("comments", "SELECT r_name -- the name\n FROM region /* all of\n them */ WHERE r_regionkey <> 2")
+dialect("default_names", "SELECT COUNT(*), MAX(n_nationkey), n_regionkey FROM nation GROUP BY n_regionkey", 'SELECT count(*) AS "COUNT(*)", max(n_nationkey) AS "MAX(n_nationkey)", n_regionkey FROM nation GROUP BY n_regionkey')
 
 # Expressions
 
@@ -194,7 +193,25 @@ dialect("fn_length", "SELECT LENGTH(n_name) AS v FROM nation", "SELECT CAST(leng
 dialect("case_searched", "SELECT p_partkey, CASE WHEN p_size > 30 THEN 'high' WHEN p_size > 10 THEN 'medium' ELSE 'low' END AS c FROM part")
 dialect("case_simple", "SELECT n_name, CASE n_regionkey WHEN 0 THEN 'zero' WHEN 1 THEN 'one' ELSE 'other' END AS c FROM nation")
 
-# Set operations (built-in, for completeness)
+dialect("fn_round", "SELECT p_partkey, ROUND(p_retailprice, 1) AS v, ABS(p_size - 20) AS a FROM part")
+
+# Subqueries
+
+dialect("in_select", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) AND c_acctbal > 0")
+dialect("not_in_select", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000.0)")
+dialect("exists_correlated", "SELECT c.c_custkey FROM customer c WHERE EXISTS (SELECT * FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000.0)")
+dialect("not_exists_correlated", "SELECT n_name FROM nation n WHERE NOT EXISTS (SELECT s_suppkey FROM supplier WHERE s_nationkey = n.n_nationkey AND s_acctbal > 8000.0)")
+dialect("exists_uncorrelated", "SELECT r_name FROM region WHERE EXISTS (SELECT * FROM nation WHERE n_nationkey > 20) AND NOT EXISTS (SELECT * FROM nation WHERE n_nationkey > 99)")
+dialect("in_grouped_select", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING SUM(l_quantity) > 200)")
+
+# Set operations
+
+dialect("union_distinct", "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region")
+dialect("union_all_dialect", "SELECT c_nationkey AS k, COUNT(*) AS n FROM customer GROUP BY c_nationkey UNION ALL SELECT s_nationkey, COUNT(*) FROM supplier GROUP BY s_nationkey")
+dialect("intersect_rows", "SELECT c_nationkey FROM customer WHERE c_acctbal > 9000.0 INTERSECT SELECT s_nationkey FROM supplier")
+dialect("except_rows", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 150000.0")
+dialect("except_all_rows", "SELECT o_orderstatus AS s FROM orders EXCEPT ALL SELECT l_linestatus FROM lineitem WHERE l_orderkey < 500")
+dialect("set_order_limit", "SELECT n_name AS v FROM nation UNION ALL SELECT r_name FROM region ORDER BY v DESC LIMIT 6 OFFSET 2")
 
 query("union_all", lambda t: t("nation").select(col("n_name").alias("v")).unionAll(t("region").select("r_name")), "SELECT n_name AS v FROM nation UNION ALL SELECT r_name FROM region")
 
@@ -214,11 +231,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PART = (("p_partkey", "INT", 4), ("p_name", "CHAR", 200), ("p_size", "INT", 4), ("p_retailprice", "FLOAT", 4))
 
 
-def _root(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quarry-work"
-    return f"{base.rstrip('/')}/db-{uuid.uuid4().hex}"
-
-
 def _loaded(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
     """``part`` written as CSV and read by the LOAD rules."""
     rows = tables(spark, sf_dir)("part").select(*[c for c, _, _ in _PART])
@@ -227,11 +239,11 @@ def _loaded(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
 
 
 def load_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _loaded(spark, sf_dir, _root(spark)).select("p_partkey", "p_name", "p_size", F.round(col("p_retailprice").cast("double"), 1).alias("price"))
+    return _loaded(spark, sf_dir, scripts.new_root(spark)).select("p_partkey", "p_name", "p_size", F.round(col("p_retailprice").cast("double"), 1).alias("price"))
 
 
 def dml_update_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = _root(spark)
+    root = scripts.new_root(spark)
     rows = tables(spark, sf_dir)("part").select("p_partkey", "p_size")
     rows.write.option("header", True).csv(f"{root}/csv")
     db = Session(spark, root)
@@ -249,3 +261,6 @@ QUERIES["dml_update_delete"] = dml_update_delete
 ORACLE_SQL["dml_update_delete"] = """
     SELECT CAST(CASE WHEN p_size > 25 THEN -p_partkey ELSE p_partkey END AS INTEGER) AS p_partkey, CASE WHEN p_size > 25 THEN p_size + 100 ELSE p_size END AS p_size
     FROM part WHERE p_size >= 10"""
+
+QUERIES.update(scripts.QUERIES)
+ORACLE_SQL.update(scripts.ORACLE_SQL)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dialect import ast
+from ..errors import QuarryError
 from ..functions import scalars
-from .binder import BoundSelect, Scope, Source, conjuncts, walk
+from .binder import BoundSelect, BoundSet, Scope, Source, conjuncts, walk
 
 
 def column_name(source: str, column: str) -> str:
@@ -24,6 +26,8 @@ class Expressions:
         self.scope, self.slots = scope, slots or {}
 
     def __call__(self, node: ast.Node) -> Column:
+        if isinstance(node, ast.InSelect):
+            raise QuarryError("IN and EXISTS over a SELECT are conditions of their own, joined by AND, in WHERE")
         if node in self.slots:
             return F.col(f"`{self.slots[node]}`")
         if isinstance(node, ast.Lit):
@@ -82,6 +86,9 @@ class Expressions:
 
 
 def aggregate(agg: ast.Agg, arg: Column | None) -> Column:
+    if agg.distinct and agg.fn in ("COUNT", "SUM", "AVG"):
+        count, total = F.count_distinct(arg), F.sum_distinct(arg)
+        return {"COUNT": count, "SUM": total, "AVG": total / count}[agg.fn]
     if agg.fn == "COUNT":
         return F.count(F.lit(1) if arg is None else arg)
     return {"SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max}[agg.fn](arg)
@@ -91,15 +98,94 @@ def scan(frame: DataFrame, source: Source) -> DataFrame:
     return frame.select(*[F.col(f"`{c}`").alias(column_name(source.name, c)) for c in source.kinds])
 
 
-def to_frame(bound: BoundSelect, frame_of: Callable[[Source], DataFrame], hint: str | None = None) -> DataFrame:
-    """The DataFrame of a bound SELECT; ``hint`` is a join strategy for equi joins."""
-    select, scope = bound.select, Scope(bound.sources)
+def _rows(made: DataFrame, limit: int | None, offset: int) -> DataFrame:
+    made = made.offset(offset) if offset else made
+    return made if limit is None else made.limit(limit)
+
+
+def _set_frame(bound: BoundSet, frame_of: Callable[[Source], DataFrame], hint: str | None) -> DataFrame:
+    operation = bound.operation
+    left, right = to_frame(bound.left, frame_of, hint), to_frame(bound.right, frame_of, hint)
+    if len(left.columns) != len(right.columns):
+        raise QuarryError(f"{operation.op} of {len(left.columns)} and {len(right.columns)} columns")
+    if operation.op == "UNION":
+        made = left.unionAll(right)
+        made = made if operation.every else made.distinct()
+    elif operation.op == "INTERSECT":
+        made = left.intersectAll(right) if operation.every else left.intersect(right)
+    else:
+        made = left.exceptAll(right) if operation.every else left.subtract(right)
+    keys = []
+    for key, down in operation.order_by:
+        if isinstance(key, ast.Lit) and isinstance(key.value, int) and 1 <= key.value <= len(made.columns):
+            name = made.columns[key.value - 1]
+        elif isinstance(key, ast.Col) and key.table is None and made.columns.count(key.name) == 1:
+            name = key.name
+        else:
+            raise QuarryError(f"ORDER BY of {operation.op} takes a column's name or number")
+        keys.append(F.col(f"`{name}`").desc() if down else F.col(f"`{name}`").asc())
+    return _rows(made.orderBy(*keys) if keys else made, operation.limit, operation.offset)
+
+
+def _is_inside(node: ast.Node) -> bool:
+    return isinstance(node, ast.InSelect) or isinstance(node, ast.Unary) and node.op == "NOT" and isinstance(node.arg, ast.InSelect)
+
+
+def _matched(made: DataFrame, node: ast.Node, scope: Scope, frame_of: Callable[[Source], DataFrame], hint: str | None) -> DataFrame:
+    """The rows for which an IN or EXISTS over a SELECT holds: a semi or anti join."""
+    negated = isinstance(node, ast.Unary)
+    node = node.arg if negated else node
+    negated, query = negated != node.negated, node.select
+    local: list[ast.Node] = []
+    outer: list[ast.Node] = []
+    if isinstance(query, BoundSelect):
+        own = {s.name for s in query.sources}
+        for c in conjuncts(query.select.where):
+            tables = {n.table for n in walk(c) if isinstance(n, ast.Col)}
+            (outer if tables - own and not _is_inside(c) else local).append(c)
+    if outer:
+        if query.grouped or query.select.limit is not None or query.select.offset or query.select.distinct:
+            raise QuarryError("a SELECT that refers to the one around it takes no grouping, DISTINCT or LIMIT")
+        where = None
+        for c in local:
+            where = c if where is None else ast.Binary("AND", where, c)
+        # columns that the join needs come out under their own names
+        needed = dict.fromkeys(n for c in outer for n in walk(c) if isinstance(n, ast.Col) and n.table in own)
+        first = () if node.arg is None else (replace(query.select.items[0], alias="in·0"),)
+        items = (*first, *(ast.Item(n, column_name(n.table, n.name)) for n in needed))
+        query = replace(query, select=replace(query.select, where=where, items=items or (ast.Item(ast.Lit(1), "in·0"),), order_by=()))
+    right = to_frame(query, frame_of, hint)
+    if node.arg is not None and not outer:
+        if len(right.columns) != 1:
+            raise QuarryError(f"IN takes a SELECT of one column, {len(right.columns)} given")
+        right = right.toDF("in·0")
+    if node.arg is None and not outer:
+        return made.join(right.limit(1), F.lit(True), "left_anti" if negated else "left_semi")
+    make = Expressions(Scope(scope.sources, (*query.sources, *scope.outer)) if outer else scope)
+    tests = [make(c) for c in outer]
+    if node.arg is not None:
+        same = make(node.arg) == F.col("`in·0`")
+        if negated and not outer:  # a NULL on either side leaves it open whether the value is among them
+            made = made.join(right.where("`in·0` IS NULL").limit(1), F.lit(True), "left_anti").join(right.limit(1), make(node.arg).isNull(), "left_anti")
+        tests.append(same | same.isNull() if negated and outer else same)
+    test = tests[0]
+    for t in tests[1:]:
+        test = test & t
+    return made.join(right, test, "left_anti" if negated else "left_semi")
+
+
+def to_frame(bound: BoundSelect | BoundSet, frame_of: Callable[[Source], DataFrame], hint: str | None = None) -> DataFrame:
+    """The DataFrame of a bound query; ``hint`` is a join strategy for equi joins."""
+    if isinstance(bound, BoundSet):
+        return _set_frame(bound, frame_of, hint)
+    select, scope = bound.select, Scope(bound.sources, bound.outer)
     make = Expressions(scope)
     made = scan(frame_of(bound.sources[0]), bound.sources[0])
     have = {bound.sources[0].name}
     # inner joins pool their conditions with WHERE: each goes to the first join that has its tables
     outer = any(j.how in ("left", "right", "full") for j in select.joins)
-    pooled = conjuncts(select.where) + [c for j in select.joins if j.how == "inner" and not outer for c in conjuncts(j.on)]
+    inside = [c for c in conjuncts(select.where) if _is_inside(c)]
+    pooled = [c for c in conjuncts(select.where) if not _is_inside(c)] + [c for j in select.joins if j.how == "inner" and not outer for c in conjuncts(j.on)]
 
     def tables(node: ast.Node) -> set[str]:
         return {n.table for n in walk(node) if isinstance(n, ast.Col)}
@@ -125,6 +211,8 @@ def to_frame(bound: BoundSelect, frame_of: Callable[[Source], DataFrame], hint:
             have.add(source.name)
     for c in pooled:
         made = made.where(make(c))
+    for c in inside:
+        made = _matched(made, c, scope, frame_of, hint)
 
     if bound.grouped:
         nodes = [*(i.expr for i in select.items), *([select.having] if select.having is not None else []), *(k for k, _ in select.order_by)]
@@ -143,12 +231,10 @@ def to_frame(bound: BoundSelect, frame_of: Callable[[Source], DataFrame], hint:
         if select.order_by:
             labels = {i.expr: i.alias or _label(i.expr) for i in select.items}
             made = made.orderBy(*[F.col(f"`{labels[k]}`").desc() if down else F.col(f"`{labels[k]}`").asc() for k, down in select.order_by])
-        return made if select.limit is None else made.limit(select.limit)
+        return _rows(made, select.limit, select.offset)
     if select.order_by:
         made = made.orderBy(*[make(k).desc() if down else make(k).asc() for k, down in select.order_by])
-    if select.limit is not None:
-        made = made.limit(select.limit)
-    return made.select(*out)
+    return _rows(made, select.limit, select.offset).select(*out)
 
 
 def _label(node: ast.Node) -> str:

@@ -44,7 +44,7 @@ def test_pushdown_and_pruning(spark):
 
 
 def test_limit_only(spark):
-    assert QUERIES["limit_only"](spark, SF).count() == 7
+    assert tuple(QUERIES["limit_only"](spark, SF).first()) == (7, 7)
 
 
 def test_invariants(spark):
@@ -57,7 +57,7 @@ def test_invariants(spark):
     assert [r["no_d_id"] for r in invariants.gapless_new_orders(new_orders).collect()] == [1]
 
 
-@pytest.mark.parametrize("name, table", [("sort_desc_all", "supplier"), ("sort_multi_all", "customer"), ("sort_hidden_col_all", "customer")])
+@pytest.mark.parametrize("name, table", [("sort_desc", "supplier"), ("sort_multi", "customer"), ("sort_hidden_col", "customer")])
 def test_whole_sorts(spark, duck, name, table):
     df = QUERIES[name](spark, SF)
     assert "TakeOrdered" not in _plan(df)
