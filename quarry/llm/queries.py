@@ -30,7 +30,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.extendible_shards(read(spark, sf_dir, "documents"), Scratch(spark, "sharding"))
+    placed = sharding.extendible_shards(read(spark, sf_dir, "documents"), Scratch(spark, "sharding"), limit=SHARD_BYTES)
     return placed.withColumnRenamed("key", "doc_id")
 
 
@@ -59,6 +59,9 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(read(spark, sf_dir, "embeddings"), Scratch(spark, "embeddings"))
 
 
+#: Byte limit of a shard that a data loader streams.
+SHARD_BYTES = 1 << 20
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_warc": op2_warc,
@@ -105,7 +108,7 @@ ORACLE_SQL = {
             ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(31) || coalesce(text, '')), 1, 15))::BIGINT AS h
           FROM documents),
         l AS (SELECT doc_id, row_bytes, h, CAST(d AS INTEGER) AS depth FROM r, range(0, 31) AS g(d)),
-        s AS (SELECT depth, h >> (60 - depth) AS prefix, sum(row_bytes) AS shard_bytes FROM l GROUP BY ALL HAVING sum(row_bytes) <= {sharding.SHARD_BYTES}),
+        s AS (SELECT depth, h >> (60 - depth) AS prefix, sum(row_bytes) AS shard_bytes FROM l GROUP BY ALL HAVING sum(row_bytes) <= {SHARD_BYTES}),
         f AS (SELECT l.*, s.shard_bytes, row_number() OVER (PARTITION BY doc_id, h ORDER BY l.depth) AS n
               FROM l JOIN s ON l.depth = s.depth AND l.h >> (60 - l.depth) = s.prefix)
         SELECT doc_id, CAST(row_bytes AS BIGINT) AS row_bytes,

@@ -8,8 +8,9 @@ hot source or key cannot matter: rows are spread by content.
 
 Defined cases: null ids and texts hash and weigh as empty strings; rows that are
 equal in both share their hash and cannot be parted by more bits, so a cell still
-over the limit at 60 bits is cut into pages in sequence (``page`` from 0 on); a
-single row over the limit is a shard of its own; an empty table gives no shards.
+over the limit at 60 bits is cut into pages (``page`` from 0 on), dealt first to groups
+of bounded size; a single row over the limit is a shard of its own; other columns are
+ignored; an empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ HASH_BITS = 60
 SHARD_BYTES = 64 << 20
 #: Bits added per round to the cells that are still too large.
 ROUND_BITS = 8
+#: Equal rows that are numbered together when they are cut into pages.
+PAGE_ROWS = 100_000
 
 
 def _prefix(bits):
@@ -78,15 +81,20 @@ def extendible_shards(
             return done
         left = scratch.table(left.join(over, _prefix(bits) == F.col("cell"), "left_semi"), f"left-{bits}")
         if bits == HASH_BITS:
-            return done.unionByName(_pages(left, limit))
+            return done.unionByName(_pages(left, limit, scratch))
         bits = min(HASH_BITS, bits + ROUND_BITS)
 
 
-def _pages(rows: DataFrame, limit: int) -> DataFrame:
+def _pages(rows: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
     """Equal rows, too many for one shard: pages of at most ``limit`` bytes (one row at least)."""
-    spread = rows.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("key")) - 1)
+    rows = scratch.table(rows.withColumn("tag", F.monotonically_increasing_id()), "tagged")
+    groups = rows.groupBy("h").agg(F.ceil(F.count("*") / PAGE_ROWS).cast("long").alias("groups"))
+    each = F.broadcast(groups.where("groups > 1"))  # fewer than the rows by PAGE_ROWS
+    dealt = rows.join(each, "h", "left").withColumn("groups", F.coalesce("groups", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("tag"), F.col("groups")))
+    spread = dealt.withColumn("n", F.row_number().over(Window.partitionBy("h", "group").orderBy("tag")) - 1)
     page = F.floor(F.col("n") / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.lit(1), F.col("bytes"))))).cast("long")
-    paged = spread.withColumn("page", page)
+    paged = spread.withColumn("page", page * F.col("groups") + F.col("group"))
     sizes = paged.groupBy("h", "page").agg(F.sum("bytes").alias("shard_bytes"))
     return paged.join(sizes, ["h", "page"]).select(
         "key",
@@ -99,6 +107,6 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(df: DataFrame, assignment: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write the rows of ``df``, one folder per shard; keys must be unique here."""
+    """Write the rows of ``df``, one folder per shard and page; keys must be unique here."""
     placed = df.join(assignment.select(F.col("key").alias(key), "shard", "page"), key)
     placed.repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)

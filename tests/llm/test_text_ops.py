@@ -145,7 +145,22 @@ def test_chat_mask_fits_the_output(spark):
         assert all(m["start"] == 0 or whole[: m["start"]].endswith((b"<|body|>", b"<|part|>")) for m in r["mask"])
 
 
-def test_sharding(spark):
+def test_written_shards_fit(spark, tmp_path):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(k, "x" * rng.randrange(300)) for k in range(300)], "doc_id long, text string")
+    placed = sharding.extendible_shards(df, Scratch(spark, "t"), limit=4000)
+    sharding.write_shards(df, placed, f"file://{tmp_path}/shards")
+    back = spark.read.option("recursiveFileLookup", False).schema("doc_id long, text string, shard string, page long").parquet(f"file://{tmp_path}/shards")
+    sizes = {}
+    for r in back.collect():
+        sizes[r["shard"], r["page"]] = sizes.get((r["shard"], r["page"]), 0) + len(r["text"])
+    assert len(sizes) > 8 and max(sizes.values()) <= 4000 and back.count() == 300
+    assert {(r["shard"], r["page"]): r["shard_bytes"] for r in placed.collect()} == sizes
+
+
+@pytest.mark.parametrize("page_rows", [100_000, 7])
+def test_sharding(spark, page_rows, monkeypatch):
+    monkeypatch.setattr(sharding, "PAGE_ROWS", page_rows)
     rng = random.Random(3)
     rows = [(k, "x" * rng.randrange(200)) for k in range(400)] + [(1000, "big" * 900)] + [(7777, "y" * 50)] * 60 + [(None, None), (5, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as h", "2 as bytes")
