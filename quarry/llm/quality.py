@@ -13,7 +13,7 @@ over a quantile of the trusted ones of its language, widened by a factor.
 
 Defined cases: null, empty and white-space texts are rejected, with a null perplexity;
 a language without trusted texts (null is one too) takes the quantile over all; without any trusted text
-everything with words is kept; rows of one id and text share a verdict; texts are
+everything with words is kept; repeated rows are judged each, and those of one id and text share a verdict; texts are
 scored whole, in pieces of bounded size; other columns are ignored.
 """
 
@@ -227,7 +227,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataF
         "shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("h"), "grams"
     )
     grams = docs.select("doc_id", "h", "text").mapInArrow(_packed, "doc_id long, h long, shard int, grams binary")
-    dealt = grams.select("shard", F.pmod("h", F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "h", "grams").unionByName(model)
+    dealt = grams.select("shard", F.pmod(F.xxhash64("doc_id", "h"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "h", "grams").unionByName(model)
     parts = dealt.repartition(SHARDS * salts, "shard", "salt").sortWithinPartitions("shard", "salt", "kind").select("kind", "doc_id", "h", "grams")
     sums = parts.mapInArrow(_scored, "doc_id long, h long, logp double, n long").groupBy("doc_id", "h").agg(F.sum("logp").alias("logp"), F.sum("n").alias("n"))
     return sums.select("doc_id", "h", F.exp(-(F.col("logp") + PRIOR * mean) / (F.col("n") + PRIOR)).alias("perplexity"))
@@ -238,7 +238,7 @@ def _keyed(scores: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, quantile: float = QUANTILE, factor: float = FACTOR) -> DataFrame:
-    """doc_id, h, lang, perplexity, threshold, word_perplexity, word_threshold, keep for each distinct (doc_id, text, lang) of ``docs``.
+    """doc_id, h, lang, perplexity, threshold, word_perplexity, word_threshold, keep of each row of ``docs``.
 
     ``labels`` has doc_id and quality; 1 marks trusted text.
     """
@@ -251,7 +251,7 @@ def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, quantile: float
     words = scratch.table(word_perplexities(rows, trusted, scratch), "words")
     docs.sparkSession.conf.unset("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
     # Languages come without texts, so that no text moves.
-    langs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "lang", (F.length(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))) > 0).alias("full")).distinct()
+    langs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "lang", (F.length(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))) > 0).alias("full"))
     scores = scratch.table(scores.join(_keyed(words), F.col("doc_id").eqNullSafe(F.col("sid")) & (F.col("h") == F.col("sh")), "left").drop("sid", "sh"), "both")
     scored = scratch.table(langs.join(_keyed(scores), F.col("doc_id").eqNullSafe(F.col("sid")) & (F.col("h") == F.col("sh")), "left").drop("sid", "sh"), "scored")
     known = scored.where("full").join(trusted, "doc_id", "left_semi")

@@ -70,11 +70,76 @@ def test_symbols():
     assert counts.sum() > 300_000
 
 
-def test_kneser_ney_is_a_distribution():
+class KneserNey:
+    """Interpolated modified Kneser-Ney over dictionaries, straight from the definition."""
+
+    def __init__(self, counts, symbols):
+        self.base = 1 / symbols
+        self.tri, self.bi, self.uni = {}, {}, {}
+        for (a, b, c), n in counts.items():
+            self.tri.setdefault((a, b), {})[c] = n
+            self.bi.setdefault(b, {}).setdefault(c, set()).add(a)
+        self.bi = {b: {c: len(s) for c, s in row.items()} for b, row in self.bi.items()}
+        for row in self.bi.values():
+            for c in row:
+                self.uni[c] = self.uni.get(c, 0) + 1
+        self.d = [self.discounts([n for row in rows for n in row.values()]) for rows in ([self.uni], self.bi.values(), self.tri.values())]
+
+    @staticmethod
+    def discounts(values):
+        n = [values.count(k) for k in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        return [0] + [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) if n[k] and n[k + 1] else 0.5 * k for k in (1, 2, 3)]
+
+    def of(self, row, d, c, lower):
+        if not row:
+            return lower
+        total = sum(row.values())
+        n = row.get(c, 0)
+        return (n - d[min(n, 3)]) / total + sum(d[min(v, 3)] for v in row.values()) / total * lower
+
+    def p(self, a, b, c):
+        one = self.of(self.uni, self.d[0], c, self.base)
+        two = self.of(self.bi.get(b), self.d[1], c, one)
+        return self.of(self.tri.get((a, b)), self.d[2], c, two)
+
+
+def test_kneser_ney_against_its_definition():
     rng = np.random.default_rng(0)
-    codes = np.unique(rng.integers(0, quality.SIZE**3, 5000))
-    p = np.exp(quality.kneser_ney(codes, rng.integers(1, 9, len(codes))).astype(float))
-    assert np.allclose(p.sum(axis=2), 1, atol=0.05)
+    # boundaries are contexts but never follow
+    tri = {(int(a), int(b), int(c)): int(n) for a, b, c, n in zip(rng.integers(0, 20, 4000), rng.integers(0, 20, 4000), 1 + rng.integers(0, 30, 4000), rng.zipf(1.7, 4000).clip(max=90))}
+    codes, counts = zip(*sorted(((b << 12) | (a << 6) | c, n) for (a, b, c), n in tri.items()))
+    p = np.exp(quality.kneser_ney(np.array(codes), np.array(counts)).astype(float))
+    model = KneserNey(tri, quality.SIZE - 1)
+    for a, b, c in rng.integers(0, quality.SIZE, (3000, 3)).tolist() + [list(k) for k in list(tri)[:1000]]:
+        if c:
+            assert p[b, a, c] == pytest.approx(model.p(a, b, c), rel=1e-5)
+    assert np.allclose(p[:, :, 1:].sum(axis=2), 1, atol=1e-5)
+
+
+def test_word_table_against_its_definition():
+    rng = np.random.default_rng(1)
+    tri = {(int(a), int(b), int(c)): int(n) for a, b, c, n in zip(rng.integers(0, 9, 900), rng.integers(0, 9, 900), rng.integers(0, 25, 900), rng.integers(1, 6, 900))}
+    ab, bc, n, b = (np.array(x, np.uint32) for x in zip(*((a * 100 + b, b * 100 + c, k, b) for (a, b, c), k in tri.items())))
+    base = 1 / 500
+    table = wordmodel.Table(ab, bc, n, b, base)
+    rows, pairs, before = {}, {}, {}
+    for (x, y, z), k in tri.items():
+        rows.setdefault((x, y), {})[z] = k
+        before[y, z] = before.get((y, z), 0) + 1
+        pairs.setdefault(y, set()).add(z)
+
+    def p(x, y, z):
+        total = sum(before[y, w] for w in pairs[y]) if y in pairs else 0
+        low = (max(before.get((y, z), 0) - table.d2, 0) + table.d2 * len(pairs[y]) * base) / total if total else base
+        row = rows.get((x, y))
+        return low if not row else (max(row.get(z, 0) - table.d3, 0) + table.d3 * len(row) * low) / sum(row.values())
+
+    asked = list(tri)[:300] + rng.integers(0, 30, (600, 3)).tolist()
+    # a pair (a, b) never seen is told by (b, c) alone, so the word must be known from one of them
+    asked = [(x, y, z) for x, y, z in asked if (x, y) in rows or (y, z) in before]
+    got = table.logs(np.array([x * 100 + y for x, y, _ in asked], np.uint32), np.array([y * 100 + z for _, y, z in asked], np.uint32))
+    assert np.allclose(got, [np.log(max(p(*k), base * 1e-3)) for k in asked], atol=1e-9)
 
 
 def brute_perplexity(text, trusted):
@@ -102,6 +167,8 @@ def test_quality(spark):
     trusted = [t for k, t, _ in rows[:150]]
     for k in (1, 170, 300):
         assert got[k]["perplexity"] == pytest.approx(brute_perplexity(rows[[r[0] for r in rows].index(k)][1], trusted), rel=1e-3)
+    assert quality.judge(docs, labels, Scratch(spark, "t")).groupBy("doc_id").count().where("count > 1").collect() == [(5, 2)]
+    docs = docs.selectExpr("*", "3 as bad_id", "4 as Bad_Text")
     kept = quality.keep_quality(docs, labels, Scratch(spark, "t"))
     assert kept.columns == docs.columns and kept.where("doc_id = 5").count() == 2 and kept.where("doc_id >= 300 and doc_id < 305").count() == 0
     assert quality.judge(docs.limit(0), labels, Scratch(spark, "t")).count() == 0
