@@ -9,8 +9,8 @@ shingles.  Steps:
    Linked sets share one of the first |A| - ceil(3/4 |A|) + 1 shingles of that order,
    and all of these are a set's keys, so no link is missed.
 3. Per key, some sets are drawn as centres; the others are paired with them, each at the
-   first few of its keys (``FIRST``).  When the links among these pairs are merged, all
-   sets of a key that are still in different components are paired, tile by tile: a key
+   first few of its keys (``FIRST``), and those that do not link with the set most like
+   their centre.  When the links among these pairs are merged, all sets of a key that are still in different components are paired, tile by tile: a key
    of many sets is dealt to tiles of ``TILE`` sets each, and every pair of tiles is a group
    of its own, in which sizes (ratio 4/3 at most) bound the rows that are compared.
    Keys that list the same sets count once, and of the keys that two sets have among
@@ -55,9 +55,9 @@ TILE = 4096
 BROADCAST_IDS = 1 << 20
 #: Shingles counted at once in a task.
 BLOCK = 4 << 20
+#: Shuffle files go with the table they were made for, so that those of all steps do not add up.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BITS_LEAST, BITS_MOST, BITS_EACH = 64, 1 << 17, 4
-#: Bytes of the smaller bitmaps that travel with each key.
-SMALL_LEAST, SMALL_MOST = 64, 512
 
 
 def _long_list(arrays: list[np.ndarray]) -> pa.Array:
@@ -128,12 +128,6 @@ def _folded(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def small_bitmap(bits: bytes) -> bytes:
-    """The bitmap folded to about a bit a shingle."""
-    size = min(len(bits), max(SMALL_LEAST, min(SMALL_MOST, len(bits) // BITS_EACH)))
-    return _folded(np.frombuffer(bits, np.uint8), size).tobytes()
-
-
 def may_link(n: int, m: int, a: bytes, b: bytes) -> bool:
     """Whether the bitmaps allow a link between sets of ``n`` and ``m`` shingles."""
     if 100 * min(n, m) < LINK * max(n, m):
@@ -145,13 +139,20 @@ def may_link(n: int, m: int, a: bytes, b: bytes) -> bool:
     return (100 + LINK) * most >= LINK * (n + m)
 
 
-def links(a: np.ndarray, b: np.ndarray) -> bool:
-    """Exact test on two sorted distinct arrays."""
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted distinct arrays share."""
     if len(a) > len(b):
         a, b = b, a
+    if not len(a):
+        return 0
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
-    both = int((b[at] == a).sum()) if len(b) else 0
+    return int((b[at] == a).sum())
+
+
+def links(a: np.ndarray, b: np.ndarray) -> bool:
+    """Exact test on two sorted distinct arrays."""
+    both = shared(a, b)
     return len(a) > 0 and 100 * both >= LINK * (len(a) + len(b) - both)
 
 
@@ -163,30 +164,29 @@ def hot_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, hot: np.ndarray) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint of the set), keys, bits, small of each row of ``texts`` (doc_id, text)."""
+    """doc_id, n, f1, f2 (fingerprint of the set), keys, bits of each row of ``texts`` (doc_id, text)."""
     shared = texts.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
-            n, f1, f2, keys, bits, small = [], [], [], [], [], []
+            n, f1, f2, keys, bits = [], [], [], [], []
             for _, found in shingle_sets(batch.column(1)):
                 n.append(len(found))
                 f1.append(int(mix64(found).sum(dtype=np.uint64)) if len(found) else 0)
                 f2.append(int((mix64(found ^ np.uint64(0xA5A5A5A55A5A5A5A)) * (found | np.uint64(1))).sum(dtype=np.uint64)) if len(found) else 0)
                 keys.append(keys_of(found, often) if len(found) else found)
                 bits.append(bitmap_of(found) if len(found) else b"")
-                small.append(small_bitmap(bits[-1]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), _long_list(keys), pa.array(bits, pa.binary()), pa.array(small, pa.binary())],
-                names=["doc_id", "n", "f1", "f2", "keys", "bits", "small"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), _long_list(keys), pa.array(bits, pa.binary())],
+                names=["doc_id", "n", "f1", "f2", "keys", "bits"],
             )
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>, bits binary, small binary")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>, bits binary")
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, n, tile, node, comp, small, firsts) sorted by the first four: pairs of tiles i and j.
+    """Rows (key, i, j, n, tile, node, comp, bits, firsts) sorted by the first four: pairs of tiles i and j.
 
     A pair is of different components, and sizes and bitmaps allow it.  Sets that share several of their
     first keys are paired at the smallest of these only.
@@ -256,9 +256,14 @@ def _lists(column: pa.ListArray) -> list[np.ndarray]:
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, fa, fb) -> the pairs that link, with their similarity."""
     for batch in batches:
-        keep = [links(x, y) for x, y in zip(_lists(batch.column(2)), _lists(batch.column(3)))]
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+        sets = list(zip(_lists(batch.column(2)), _lists(batch.column(3))))
+        both = np.array([shared(x, y) for x, y in sets], np.int64)
+        every = np.array([len(x) + len(y) for x, y in sets], np.int64) - both
+        keep = (both > 0) & (100 * both >= LINK * every)
+        found = batch.filter(pa.array(keep)).select(["a", "b"])
+        yield pa.RecordBatch.from_arrays([*found.columns, pa.array(both[keep] / every[keep])], names=["a", "b", "like"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +273,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, scratch: Scratch, label: str) -> DataFrame:
-    """The pairs (a, b) that link; ``sizes`` has node, n, bits and ``texts`` doc_id, text."""
+    """The pairs (a, b) that link, and how alike they are; ``sizes`` has node, n, bits and ``texts`` doc_id, text."""
     of = lambda k: sizes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
     bounded = scratch.table(
         pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(_bounded, "a long, b long"), f"{label}-bounded"
@@ -278,14 +283,16 @@ def verified(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, scratch: Scra
         wanted = F.broadcast(wanted)
     sets = scratch.table(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "node long, found array<long>"), f"{label}-sets")
     both = bounded.join(sets.select(F.col("node").alias("a"), F.col("found").alias("fa")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("fb")), "b")
-    found = scratch.table(both.select("a", "b", "fa", "fb").mapInArrow(_exact, "a long, b long").distinct(), f"{label}-links")
+    found = scratch.table(both.select("a", "b", "fa", "fb").mapInArrow(_exact, "a long, b long, like double").distinct(), f"{label}-links")
     scratch.drop(f"{label}-sets", f"{label}-bounded", f"{label}-wanted")
     return found
 
 
 def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs``."""
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
+    spark.conf.set(CLEANUP, "true")
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sigs = scratch.table(signatures(texts, hot_shingles(texts)), "signatures")
     members = scratch.table(sigs.select("doc_id", "f1", "f2", "n"), "members")
@@ -293,18 +300,32 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", t
     classes = scratch.table(classes, "classes")
     nodes = classes.select(F.col("node").alias("doc_id"))
     nodes = F.broadcast(nodes) if classes.count() <= BROADCAST_IDS else nodes
-    own = scratch.table(sigs.where("n > 0").join(nodes, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "keys", "bits", "small"), "own")
+    own = scratch.table(sigs.where("n > 0").join(nodes, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "keys", "bits"), "own")
     scratch.drop("signatures")
 
     first = own.select(F.explode(F.slice("keys", 1, FIRST)).alias("key"), "n", "node").repartition("key")
     drawn = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n")).alias(f"c{k}") for k in range(CENTRES)]
     centres = first.groupBy("key").agg(F.count("*").alias("m"), *drawn).where("m > 1").select("key", F.array(*[F.struct(f"c{k}.node", f"c{k}.n") for k in range(CENTRES)]).alias("centres"))
     fits = (F.col("c.node") != F.col("node")) & (100 * F.least("n", "c.n") >= LINK * F.greatest("n", "c.n"))
-    stars = first.join(centres, "key").select("n", "node", F.explode("centres").alias("c")).where(fits)
-    stars = scratch.table(stars.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct(), "stars")
+    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    spokes = first.join(centres, "key").select("n", "node", F.explode("centres").alias("c")).where(fits).select(F.col("c.node").alias("centre"), "node").distinct()
+    spokes = scratch.table(spokes, "spokes")
+    stars = scratch.table(spokes.select(*pair("centre", "node")).distinct(), "stars")
     sizes = own.select("node", "n", "bits")
     near = verified(stars, sizes, texts, scratch, "stars")
 
+    # Copies of one text are more like it than like each other: the centre's nearest takes its place.
+    merged = connected_components(near, scratch, "drawn")
+    ends = near.select("a", "b", "like").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "like"))
+    nearest = ends.groupBy(F.col("a").alias("centre")).agg(F.min(F.struct((-F.col("like")).alias("d"), F.col("b").alias("v")))["v"].alias("next"))
+    nearest = spokes.groupBy("centre").agg(F.count("*").alias("m")).join(nearest, "centre")
+    nearest = nearest.join(merged.select(F.col("node").alias("next"), F.col("comp").alias("there")), "next").select("centre", "next", "there", "m")
+    moved = looked_up(spokes, scratch.table(nearest, "nearest"), ["centre"], "m").where("next IS NOT NULL AND next <> node").join(merged, "node", "left")
+    moved = moved.where(F.coalesce("comp", "node") != F.col("there")).select(*pair("next", "node")).distinct().join(stars, ["a", "b"], "left_anti")
+    moved = scratch.table(moved, "moved")
+    near = near.unionByName(verified(moved, sizes, texts, scratch, "moved"))
+    tried = stars.unionByName(moved)
+
     # every key of every set, dealt once; only keys with several components go on
     merged = connected_components(near, scratch, "merged")
     known = own.select("node", "n", "keys").join(merged, "node", "left").select(F.explode("keys").alias("key"), "n", "node", F.coalesce("comp", "node").alias("comp")).repartition("key")
@@ -315,19 +336,20 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", t
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "n", "tile", "node", "comp")
     crossing = (
-        tiled.join(own.select("node", "small", F.slice("keys", 1, FIRST).alias("firsts")), "node")
+        tiled.join(own.select("node", "bits", F.slice("keys", 1, FIRST).alias("firsts")), "node")
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j", "n", "node")
-        .select("key", "i", "j", "n", "tile", "node", "comp", "small", "firsts")
+        .select("key", "i", "j", "n", "tile", "node", "comp", "bits", "firsts")
         .mapInArrow(_crossing, "a long, b long")
         .distinct()
-        .join(stars, ["a", "b"], "left_anti")
+        .join(tried, ["a", "b"], "left_anti")
     )
     more = verified(scratch.table(crossing, "crossing"), sizes, texts, scratch, "crossing")
     comps = connected_components(near.unionByName(more), scratch, "all")
     of_class = classes.join(comps, "node", "left").select("f1", "f2", "n", "rows", F.coalesce("comp", "node").alias("comp"))
     of_class = scratch.table(of_class, "of-class")
-    scratch.drop("stars", "crossing", "own", "classes")
+    scratch.drop("spokes", "stars", "moved", "nearest", "crossing", "own", "classes")
+    spark.conf.unset(CLEANUP)
     found = looked_up(members, of_class, ["f1", "f2", "n"], "rows")
     # a null id stays null
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
