@@ -49,11 +49,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder: lineage ends there, lost executors cost nothing."""
+    """Tables written to the shared folder: lineage ends there, lost executors cost nothing.
+
+    What a query has not dropped, since its result reads it, goes when the application ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
 
     def path(self, label: str) -> str:
         return f"{self.root}/{label}"

@@ -9,9 +9,10 @@ united.  The keys of different passes are independent, so a pair that one order
 adjacent in another.  The number of passes of a label follows its size and its spread
 (``passes_of``); they run ``TURN`` at a time.
 
-Dense groups hold more partners than a window: inside each component found so far all
-pairs are therefore tested exactly, block against block, so ``n_links`` counts every
-link within a component.  That work is the size of the answer where groups are dense.
+Dense groups hold more partners than a window.  A row that links even with the last one of
+its window is full; full rows that link form dense groups, inside which all pairs are tested
+exactly, block against block.  That work is in proportion to the answer, as such groups
+are dense.  All other links are those that the passes found, counted once.
 
 Defined cases: a null label or vector, a null, infinite or NaN component and the zero
 vector link with nothing and are their own component; vectors of different lengths
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare
+from .common import Scratch, looked_up, prepare
 from .components import connected_components
 
 COSINE = 0.98
@@ -126,7 +127,7 @@ def _keyed(turn: int):
 
 
 def _windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (pass, label, key, node, v) in order: links between a row and its WINDOW predecessors."""
+    """Rows (pass, label, key, node, v) in order: links between a row and its WINDOW predecessors; full ones reach the last."""
     tail: list[np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -146,7 +147,7 @@ def _windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             old[:, : tail[3].shape[1]] = tail[3]
             group, node, sizes, unit = (np.concatenate(x) for x in ((tail[0], group), (tail[1], node), (tail[2], sizes), (old, unit)))
         new = len(node) - batch.num_rows
-        xs, ys = [], []
+        xs, ys, full = [], [], []
         for d in range(1, min(WINDOW, len(node) - 1) + 1):
             lo = max(new, d)
             near = (group[lo:] == group[lo - d : -d]) & (sizes[lo:] == sizes[lo - d : -d]) & (node[lo:] != node[lo - d : -d])
@@ -154,8 +155,9 @@ def _windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i = np.flatnonzero(near) + lo
             xs.append(node[i])
             ys.append(node[i - d])
+            full.append(np.full(len(i), d == WINDOW))
         x, y = np.concatenate(xs or [node[:0]]), np.concatenate(ys or [node[:0]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.concatenate(full or [np.empty(0, bool)]))], names=["a", "b", "full"])
         tail = [group[-WINDOW:], node[-WINDOW:], sizes[-WINDOW:], unit[-WINDOW:]]
 
 
@@ -183,39 +185,55 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, key: str = "vec_id", vect
     prepare(spark)
     v = F.col("v")
     sound = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    kind = "float" if dict(vectors.dtypes)[vector] == "array<float>" else "double"  # cosines are taken in double either way
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(vector).cast(f"array<{kind}>").alias("v"))
     fit = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.forall(v, sound) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = scratch.table(rows.withColumn("fit", fit), "rows")
-    classes = scratch.table(
-        rows.where("fit").groupBy("label", F.transform(v, lambda x: x + F.lit(0.0)).alias("v")).agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), "classes"
-    )
+    rows = rows.withColumn("fit", fit).withColumn("v", F.when(F.col("fit"), F.transform(v, lambda x: x + F.lit(0).cast(kind))))  # no negative zeros
+    rows = scratch.table(rows.withColumns({"p1": F.xxhash64("v"), "p2": F.xxhash64("v", F.lit(1))}), "rows")
+    same = ["label", "p1", "p2"]
+    classes = scratch.table(rows.where("fit").groupBy(*same, "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), "classes")
     shape = classes.select("label", "v").mapInArrow(_summed, "label long, dim int, n long, total array<double>").repartition("label", "dim")
     shape = scratch.table(shape.mapInArrow(_shaped, "label long, dim int, mean array<double>, passes long"), "shape")
     shape = F.broadcast(shape) if shape.count() <= BROADCAST_LABELS else shape
     most = shape.agg(F.max("passes")).first()[0] or 0
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # the shuffle files of one turn go before the next
-    links = classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    pairs = None
     for turn in range(-(-most // TURN)):
         wide = classes.withColumn("dim", F.size("v")).join(shape.where(F.col("passes") > turn * TURN), ["label", "dim"]).select("node", "label", "v", "mean", "passes")
         parts = max(1, wide.count() * TURN // PART_ROWS)
-        keyed = wide.mapInArrow(_keyed(turn), "pass int, label long, key long, node long, v array<double>")
-        found = keyed.repartitionByRange(parts, "pass", "label", "key").sortWithinPartitions("pass", "label", "key", "node").mapInArrow(_windowed, "a long, b long").distinct()
-        links = links.unionByName(scratch.table(found, f"links-{turn}"))
+        keyed = wide.mapInArrow(_keyed(turn), f"pass int, label long, key long, node long, v array<{kind}>")
+        found = keyed.repartitionByRange(parts, "pass", "label", "key").sortWithinPartitions("pass", "label", "key", "node").mapInArrow(_windowed, "a long, b long, full boolean")
+        found = found if pairs is None else found.unionByName(pairs)
+        pairs = scratch.table(found.groupBy("a", "b").agg(F.max("full").alias("full")), f"pairs-{turn}")
+        scratch.drop(f"pairs-{turn - 1}")
+    if pairs is None:
+        pairs = spark.createDataFrame([], "a long, b long, full boolean")
+    comps = scratch.table(connected_components(pairs.select("a", "b"), scratch), "components")
+
+    # Links within dense groups, block by block.
+    full = pairs.where("full")
+    full = scratch.table(full.select(F.col("a").alias("node")).unionAll(full.select("b")).distinct(), "full")
+    edges = pairs.join(full.withColumnRenamed("node", "a"), "a", "left_semi").join(full.withColumnRenamed("node", "b"), "b", "left_semi")
+    groups = scratch.table(connected_components(edges.select("a", "b"), scratch, "dense").withColumnRenamed("comp", "dense"), "groups")
+    inside = classes.join(groups, "node").select("dense", "label", F.size("v").alias("dim"), F.struct("node", "n", "v").alias("m"), "node")
+    sized = groups.groupBy("dense").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cut = inside.join(sized, "dense").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = scratch.table(cut.groupBy("dense", "label", "dim", "block").agg(F.collect_list("m").alias("ms"), F.first("blocks").alias("blocks")), "blocks")
+    left = blocks.select("dense", "label", "dim", "block", F.col("ms").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"))
+    right = blocks.select("dense", "label", "dim", F.col("block").alias("other"), F.col("ms").alias("y"))
+    tiles = left.join(right, ["dense", "label", "dim", "other"]).select("x", "y", (F.col("block") == F.col("other")).alias("same"))
+    counts = tiles.mapInArrow(_blocked, "node long, links long")
+
+    # All other links, one by one.
+    in_group = lambda k: groups.select(F.col("node").alias(k), F.col("dense").alias(f"dense_{k}"))
+    single = pairs.join(in_group("a"), "a", "left").join(in_group("b"), "b", "left").where("dense_a IS NULL OR dense_b IS NULL OR dense_a <> dense_b").select("a", "b")
+    ends = single.unionAll(single.select("b", "a")).join(classes.select(F.col("node").alias("b"), "n"), "b").select(F.col("a").alias("node"), F.col("n").alias("links"))
+    counts = scratch.table(counts.unionByName(ends).groupBy("node").agg(F.sum("links").alias("links")), "counts")
     spark.conf.unset("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
-    comps = scratch.table(connected_components(links, scratch), "components")
-
-    # All links within a component, block by block.
-    inside = classes.join(comps, "node").select("comp", "label", F.size("v").alias("dim"), F.struct("node", "n", "v").alias("m"), "node")
-    sized = comps.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    cut = inside.join(sized, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    blocks = scratch.table(cut.groupBy("comp", "label", "dim", "block").agg(F.collect_list("m").alias("ms"), F.first("blocks").alias("blocks")), "blocks")
-    left = blocks.select("comp", "label", "dim", "block", F.col("ms").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"))
-    right = blocks.select("comp", "label", "dim", F.col("block").alias("other"), F.col("ms").alias("y"))
-    pairs = left.join(right, ["comp", "label", "dim", "other"]).select("x", "y", (F.col("block") == F.col("other")).alias("same"))
-    counts = pairs.mapInArrow(_blocked, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-
-    of_class = classes.select("node", "label", "v", "n").join(counts, "node", "left").join(comps, "node", "left")
-    of_class = of_class.select(F.col("label"), F.col("v").alias("cv"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("comp", "node").alias("component_id"))
-    fitting = rows.where("fit").select("vec_id", "label", F.transform(v, lambda x: x + F.lit(0.0)).alias("cv")).join(of_class, ["label", "cv"]).select("vec_id", "n_links", "component_id")
+
+    of_class = classes.select("node", *same, "n").join(counts, "node", "left").join(comps, "node", "left")
+    of_class = of_class.select(*same, "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("comp", "node").alias("component_id"))
+    fitting = looked_up(rows.where("fit").select("vec_id", *same), scratch.table(of_class, "of-class"), same).select("vec_id", "n_links", "component_id")
+    scratch.drop("blocks", "counts", "classes", "groups", "full", "components", f"pairs-{-(-most // TURN) - 1}")
     others = rows.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return fitting.unionByName(others).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
