@@ -47,7 +47,7 @@ LINK = 75
 HOT_TEXTS, HOT_SEEN = 48, 3
 #: Most hot shingles kept (the most frequent ones); it bounds the broadcast, not the result.
 HOT_MOST = 1 << 19
-#: Keys of a set at which it meets centres, and centres drawn per key.
+#: First rare and first hot keys of a set, at which it meets centres, and centres drawn per key.
 FIRST, CENTRES = 8, 3
 #: Sets of a key in a tile.
 TILE = 4096
@@ -92,21 +92,26 @@ def _hot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+_ONE, _TOP = np.uint64(1), np.uint64(1 << 63)
+
+
 def prefix_length(n: int) -> int:
     """Shingles of which one at least is shared by any linked set."""
     return n - (LINK * n + 99) // 100 + 1
 
 
-def keys_of(found: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The keys under which a set is listed (see step 2)."""
+def keys_of(found: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys under which a set is listed (see step 2), in order, and the first rare and first hot ones of them.
+
+    A key is a shingle's hash with the highest bit telling the hot ones, so that keys are in order as numbers.
+    """
     need = prefix_length(len(found))
-    if len(hot):
-        at = np.searchsorted(hot, found)
-        at[at == len(hot)] = 0
-        common = hot[at] == found
-        if common.any():
-            return np.concatenate([found[~common], found[common]])[:need]
-    return found[:need]
+    at = np.searchsorted(hot, found) if len(hot) else np.zeros(0, np.int64)
+    at[at == len(hot)] = 0
+    common = hot[at] == found if len(hot) else np.zeros(len(found), bool)
+    rare, often = (found[~common] >> _ONE)[:need], found[common] >> _ONE | _TOP
+    often = often[: need - len(rare)]
+    return np.concatenate([rare, often]), np.concatenate([rare[:FIRST], often[:FIRST]])
 
 
 def bitmap_of(found: np.ndarray) -> bytes:
@@ -164,25 +169,27 @@ def hot_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, hot: np.ndarray) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint of the set), keys, bits of each row of ``texts`` (doc_id, text)."""
+    """doc_id, n, f1, f2 (fingerprint of the set), keys, firsts, bits of each row of ``texts`` (doc_id, text)."""
     shared = texts.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
-            n, f1, f2, keys, bits = [], [], [], [], []
+            n, f1, f2, keys, firsts, bits = [], [], [], [], [], []
             for _, found in shingle_sets(batch.column(1)):
                 n.append(len(found))
                 f1.append(int(mix64(found).sum(dtype=np.uint64)) if len(found) else 0)
                 f2.append(int((mix64(found ^ np.uint64(0xA5A5A5A55A5A5A5A)) * (found | np.uint64(1))).sum(dtype=np.uint64)) if len(found) else 0)
-                keys.append(keys_of(found, often) if len(found) else found)
+                own, first = keys_of(found, often) if len(found) else (found, found)
+                keys.append(own)
+                firsts.append(first)
                 bits.append(bitmap_of(found) if len(found) else b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), _long_list(keys), pa.array(bits, pa.binary())],
-                names=["doc_id", "n", "f1", "f2", "keys", "bits"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), _long_list(keys), _long_list(firsts), pa.array(bits, pa.binary())],
+                names=["doc_id", "n", "f1", "f2", "keys", "firsts", "bits"],
             )
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>, bits binary")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>, firsts array<long>, bits binary")
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +213,8 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         def earlier(r: int) -> frozenset:
             if r not in smaller:
-                own = np.asarray(firsts[r])
-                smaller[r] = frozenset(own[own < key].tolist())
+                own = np.asarray(firsts[r]).view(np.uint64)
+                smaller[r] = frozenset(own[own < np.int64(key).view(np.uint64)].tolist())
             return smaller[r]
 
         low = np.searchsorted(100 * n, LINK * n)
@@ -300,10 +307,10 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", t
     classes = scratch.table(classes, "classes")
     nodes = classes.select(F.col("node").alias("doc_id"))
     nodes = F.broadcast(nodes) if classes.count() <= BROADCAST_IDS else nodes
-    own = scratch.table(sigs.where("n > 0").join(nodes, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "keys", "bits"), "own")
+    own = scratch.table(sigs.where("n > 0").join(nodes, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "keys", "firsts", "bits"), "own")
     scratch.drop("signatures")
 
-    first = own.select(F.explode(F.slice("keys", 1, FIRST)).alias("key"), "n", "node").repartition("key")
+    first = own.select(F.explode("firsts").alias("key"), "n", "node").repartition("key")
     drawn = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n")).alias(f"c{k}") for k in range(CENTRES)]
     centres = first.groupBy("key").agg(F.count("*").alias("m"), *drawn).where("m > 1").select("key", F.array(*[F.struct(f"c{k}.node", f"c{k}.n") for k in range(CENTRES)]).alias("centres"))
     fits = (F.col("c.node") != F.col("node")) & (100 * F.least("n", "c.n") >= LINK * F.greatest("n", "c.n"))
@@ -336,7 +343,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", t
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "n", "tile", "node", "comp")
     crossing = (
-        tiled.join(own.select("node", "bits", F.slice("keys", 1, FIRST).alias("firsts")), "node")
+        tiled.join(own.select("node", "bits", "firsts"), "node")
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j", "n", "node")
         .select("key", "i", "j", "n", "tile", "node", "comp", "bits", "firsts")

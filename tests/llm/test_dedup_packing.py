@@ -107,7 +107,9 @@ def test_key_and_bitmap_bounds():
             hot = np.sort(base[rng.random(len(base)) < rng.choice([0, 0.5, 0.95])])
             if len(b) and jaccard.links(a, b):
                 assert jaccard.may_link(len(a), len(b), jaccard.bitmap_of(a), jaccard.bitmap_of(b))
-                assert set(jaccard.keys_of(a, hot).tolist()) & set(jaccard.keys_of(b, hot).tolist())
+                x, y = jaccard.keys_of(a, hot), jaccard.keys_of(b, hot)
+                assert set(x[0].tolist()) & set(y[0].tolist()) and (np.diff(x[0].view(np.int64).astype(object) % 2**64) > 0).all()
+                assert set(x[1].tolist()) <= set(x[0].tolist()) and len(x[0]) == jaccard.prefix_length(len(a))
 
 
 @pytest.mark.parametrize("last", [0, 20, 1 << 20])
