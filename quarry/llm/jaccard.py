@@ -58,6 +58,8 @@ BLOCK = 4 << 20
 #: Shuffle files go with the table they were made for, so that those of all steps do not add up.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BITS_LEAST, BITS_MOST, BITS_EACH = 64, 1 << 17, 4
+#: Most bytes of the bitmaps that travel with each key; they have half the bits of the others.
+SMALL_MOST = 1024
 
 
 def _long_list(arrays: list[np.ndarray]) -> pa.Array:
@@ -133,6 +135,11 @@ def _folded(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
+def small_bitmap(bits: bytes) -> bytes:
+    """The bitmap folded for the rows of tiles."""
+    return _folded(np.frombuffer(bits, np.uint8), min(SMALL_MOST, max(BITS_LEAST // 8, len(bits) // 2)) if bits else 0).tobytes()
+
+
 def may_link(n: int, m: int, a: bytes, b: bytes) -> bool:
     """Whether the bitmaps allow a link between sets of ``n`` and ``m`` shingles."""
     if 100 * min(n, m) < LINK * max(n, m):
@@ -169,13 +176,13 @@ def hot_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, hot: np.ndarray) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint of the set), keys, firsts, bits of each row of ``texts`` (doc_id, text)."""
+    """doc_id, n, f1, f2 (fingerprint of the set), keys, firsts, bits, small of each row of ``texts`` (doc_id, text)."""
     shared = texts.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
-            n, f1, f2, keys, firsts, bits = [], [], [], [], [], []
+            n, f1, f2, keys, firsts, bits, small = [], [], [], [], [], [], []
             for _, found in shingle_sets(batch.column(1)):
                 n.append(len(found))
                 f1.append(int(mix64(found).sum(dtype=np.uint64)) if len(found) else 0)
@@ -184,16 +191,17 @@ def signatures(texts: DataFrame, hot: np.ndarray) -> DataFrame:
                 keys.append(own)
                 firsts.append(first)
                 bits.append(bitmap_of(found) if len(found) else b"")
+                small.append(small_bitmap(bits[-1]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), _long_list(keys), _long_list(firsts), pa.array(bits, pa.binary())],
-                names=["doc_id", "n", "f1", "f2", "keys", "firsts", "bits"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), _long_list(keys), _long_list(firsts), pa.array(bits, pa.binary()), pa.array(small, pa.binary())],
+                names=["doc_id", "n", "f1", "f2", "keys", "firsts", "bits", "small"],
             )
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>, firsts array<long>, bits binary")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>, firsts array<long>, bits binary, small binary")
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, n, tile, node, comp, bits, firsts) sorted by the first four: pairs of tiles i and j.
+    """Rows (key, i, j, n, tile, node, comp, small, firsts) sorted by the first four: pairs of tiles i and j.
 
     A pair is of different components, and sizes and bitmaps allow it.  Sets that share several of their
     first keys are paired at the smallest of these only.
@@ -307,7 +315,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", t
     classes = scratch.table(classes, "classes")
     nodes = classes.select(F.col("node").alias("doc_id"))
     nodes = F.broadcast(nodes) if classes.count() <= BROADCAST_IDS else nodes
-    own = scratch.table(sigs.where("n > 0").join(nodes, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "keys", "firsts", "bits"), "own")
+    own = scratch.table(sigs.where("n > 0").join(nodes, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "keys", "firsts", "bits", "small"), "own")
     scratch.drop("signatures")
 
     first = own.select(F.explode("firsts").alias("key"), "n", "node").repartition("key")
@@ -335,18 +343,21 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", t
 
     # every key of every set, dealt once; only keys with several components go on
     merged = connected_components(near, scratch, "merged")
-    known = own.select("node", "n", "keys").join(merged, "node", "left").select(F.explode("keys").alias("key"), "n", "node", F.coalesce("comp", "node").alias("comp")).repartition("key")
+    known = own.select("node", "n", "keys").join(merged, "node", "left").select(F.explode("keys").alias("key"), "n", "node", F.coalesce("comp", "node").alias("comp"))
     prints = [F.expr(f"bit_xor(xxhash64(node, {k}))").alias(f"p{k}") for k in (1, 2)]
-    mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), *prints).where("x <> y")
+    # the rows are smaller than partial aggregates, as most keys are in one place only
+    mixed = known.select("key", "node", "comp").repartition("key").groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), *prints).where("x <> y")
     mixed = mixed.groupBy("m", "p1", "p2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    tiled = known.join(mixed, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    mixed = scratch.table(mixed, "mixed")  # the shuffled keys go with this
+    small = mixed.count() <= BROADCAST_IDS
+    tiled = known.join(F.broadcast(mixed) if small else mixed, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "n", "tile", "node", "comp")
     crossing = (
-        tiled.join(own.select("node", "bits", "firsts"), "node")
+        tiled.join(own.select("node", "small", "firsts"), "node")
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j", "n", "node")
-        .select("key", "i", "j", "n", "tile", "node", "comp", "bits", "firsts")
+        .select("key", "i", "j", "n", "tile", "node", "comp", "small", "firsts")
         .mapInArrow(_crossing, "a long, b long")
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
@@ -355,7 +366,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", t
     comps = connected_components(near.unionByName(more), scratch, "all")
     of_class = classes.join(comps, "node", "left").select("f1", "f2", "n", "rows", F.coalesce("comp", "node").alias("comp"))
     of_class = scratch.table(of_class, "of-class")
-    scratch.drop("spokes", "stars", "moved", "nearest", "crossing", "own", "classes")
+    scratch.drop("spokes", "stars", "moved", "nearest", "mixed", "crossing", "own", "classes")
     spark.conf.unset(CLEANUP)
     found = looked_up(members, of_class, ["f1", "f2", "n"], "rows")
     # a null id stays null
