@@ -174,7 +174,6 @@ query(
 dialect("sort_hidden_col", "SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey")
 dialect("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 8 OFFSET 5")
 dialect("comments", "SELECT r_name -- the name\n FROM region /* all of\n them */ WHERE r_regionkey <> 2")
-dialect("default_names", "SELECT COUNT(*), MAX(n_nationkey), n_regionkey FROM nation GROUP BY n_regionkey", 'SELECT count(*) AS "COUNT(*)", max(n_nationkey) AS "MAX(n_nationkey)", n_regionkey FROM nation GROUP BY n_regionkey')
 
 # Expressions
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import QuarryError
-from ..session import Result, Session
+from ..session import Result, Session, select_frames
 from ..sources.catalog import shared_folder
 from . import invariants
 
@@ -168,6 +168,13 @@ def output_file(spark: SparkSession, sf_dir: str) -> DataFrame:
             return listed(spark, Result(columns=["line"], rows=[(x,) for x in f.read().splitlines()]))
 
 
+@script(values([(0, "COUNT(*)"), (1, "MAX(n_nationkey)"), (2, "COUNT(DISTINCT n_name)"), (3, "n_regionkey"), (4, "who")], "place, name"))
+def default_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of columns without an alias."""
+    frame = select_frames("select count(*), max(n_nationkey), count(distinct n_name), n_regionkey, n_regionkey as who from nation group by n_regionkey", lambda t: table(spark, sf_dir, t))
+    return spark.createDataFrame(list(enumerate(frame.columns)), "place int, name string")
+
+
 @script("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT -1, 'No join executor selected!'")
 def join_knobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sort-merge only, then neither kind of join."""
@@ -216,7 +223,7 @@ def unique_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     db.append("supplier", rows.where("s_suppkey <= 50"))
     db.execute("insert into supplier values (60, 'again')")
-    for again in (lambda: db.append("supplier", rows.where("s_suppkey > 49")), lambda: db.execute("insert into supplier values (60, 'x')"), lambda: db.execute("update supplier set k = 1 where k = 2")):
+    for again in (lambda: db.append("supplier", rows.where("s_suppkey <= 9")), lambda: db.execute("insert into supplier values (60, 'x')"), lambda: db.execute("update supplier set k = 1 where k = 2")):
         try:
             again()
             raise AssertionError("a unique key was broken")
