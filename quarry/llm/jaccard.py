@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, looked_up, prepare, without
+from .common import Scratch, free_name, looked_up, prepare, tidy, without
 from .components import connected_components
 from .shingles import mix64, shingle_sets
 
@@ -54,7 +54,7 @@ TILE = 4096
 #: Up to so many ids of candidates are broadcast to the texts, more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 #: Shingles counted at once in a task.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Shuffle files go with the table they were made for, so that those of all steps do not add up.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BITS_LEAST, BITS_MOST, BITS_EACH = 64, 1 << 17, 4
@@ -170,7 +170,7 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
 
 def hot_shingles(texts: DataFrame) -> np.ndarray:
     """Sorted hashes of the most common shingles; bounded by ``HOT_MOST``."""
-    counts = texts.select("text").mapInArrow(_hot_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_TEXTS)
+    counts = texts.select("text").mapInArrow(tidy(_hot_counts), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_TEXTS)
     rows = counts.orderBy(F.desc("n"), "key").limit(HOT_MOST).select("key").toArrow()
     return np.sort(rows.column(0).to_numpy().view(np.uint64)) if rows.num_rows else np.empty(0, np.uint64)
 
@@ -197,7 +197,7 @@ def signatures(texts: DataFrame, hot: np.ndarray) -> DataFrame:
                 names=["doc_id", "n", "f1", "f2", "keys", "firsts", "bits", "small"],
             )
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>, firsts array<long>, bits binary, small binary")
+    return texts.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, f1 long, f2 long, keys array<long>, firsts array<long>, bits binary, small binary")
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,14 +291,14 @@ def verified(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, scratch: Scra
     """The pairs (a, b) that link, and how alike they are; ``sizes`` has node, n, bits and ``texts`` doc_id, text."""
     of = lambda k: sizes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
     bounded = scratch.table(
-        pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(_bounded, "a long, b long"), f"{label}-bounded"
+        pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(tidy(_bounded), "a long, b long"), f"{label}-bounded"
     )
     wanted = scratch.table(bounded.select(F.col("a").alias("doc_id")).union(bounded.select("b")).distinct(), f"{label}-wanted")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    sets = scratch.table(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "node long, found array<long>"), f"{label}-sets")
+    sets = scratch.table(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(tidy(_sets), "node long, found array<long>"), f"{label}-sets")
     both = bounded.join(sets.select(F.col("node").alias("a"), F.col("found").alias("fa")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("fb")), "b")
-    found = scratch.table(both.select("a", "b", "fa", "fb").mapInArrow(_exact, "a long, b long, like double").distinct(), f"{label}-links")
+    found = scratch.table(both.select("a", "b", "fa", "fb").mapInArrow(tidy(_exact), "a long, b long, like double").distinct(), f"{label}-links")
     scratch.drop(f"{label}-sets", f"{label}-bounded", f"{label}-wanted")
     return found
 
@@ -358,7 +358,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, key: str = "doc_id", t
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j", "n", "node")
         .select("key", "i", "j", "n", "tile", "node", "comp", "small", "firsts")
-        .mapInArrow(_crossing, "a long, b long")
+        .mapInArrow(tidy(_crossing), "a long, b long")
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )

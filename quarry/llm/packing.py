@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare
+from .common import Scratch, prepare, tidy
 from .shingles import CASED_VALUE, FOLDED_VALUE, mix64, piece_words, space_cuts, string_buffers
 
 WINDOW = 4096
@@ -541,9 +541,9 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer_pat
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    tokenised = rows.mapInArrow(_tokenised(tokenizer_path or default_tokenizer()), "doc_id long, key binary, tokens long, crcs binary, terms binary")
+    tokenised = rows.mapInArrow(tidy(_tokenised(tokenizer_path or default_tokenizer())), "doc_id long, key binary, tokens long, crcs binary, terms binary")
     tokenised = Scratch(docs.sparkSession, "packing").table(tokenised, "tokenised")
     corpus = corpus_of(tokenised)
     shards = max(1, -(-corpus.n // SHARD_DOCS), -(-int(corpus.df.sum()) // SHARD_TERMS))  # as few as their indexes allow
     dealt = tokenised.repartitionByRange(shards, "key", "doc_id").sortWithinPartitions("key", "doc_id").select("doc_id", "tokens", "crcs", "terms")
-    return dealt.mapInArrow(_packed(corpus), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return dealt.mapInArrow(tidy(_packed(corpus)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, prepare, without
+from .common import Scratch, free_name, prepare, tidy, without
 from .shingles import _BASE, _INVERSE, _power_table, mix64
 from .wordmodel import word_perplexities
 
@@ -214,7 +214,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataF
     spark = docs.sparkSession
     ids = trusted.select("doc_id").where("doc_id is not null").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    counted = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(_counted, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counted = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(tidy(_counted), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
     counts = counted.toArrow()  # 64**3 rows at most
     if not counts.num_rows:
         return docs.select("doc_id", "h", F.when(F.length(F.trim("text")) > 0, F.lit(1.0)).alias("perplexity"))
@@ -226,10 +226,10 @@ def perplexities(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataF
     model = spark.createDataFrame([(k, bytearray(table[k].tobytes())) for k in range(SHARDS)], "shard int, grams binary").select(
         "shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("h"), "grams"
     )
-    grams = docs.select("doc_id", "h", "text").mapInArrow(_packed, "doc_id long, h long, shard int, grams binary")
+    grams = docs.select("doc_id", "h", "text").mapInArrow(tidy(_packed), "doc_id long, h long, shard int, grams binary")
     dealt = grams.select("shard", F.pmod(F.xxhash64("doc_id", "h"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "h", "grams").unionByName(model)
     parts = dealt.repartition(SHARDS * salts, "shard", "salt").sortWithinPartitions("shard", "salt", "kind").select("kind", "doc_id", "h", "grams")
-    sums = parts.mapInArrow(_scored, "doc_id long, h long, logp double, n long").groupBy("doc_id", "h").agg(F.sum("logp").alias("logp"), F.sum("n").alias("n"))
+    sums = parts.mapInArrow(tidy(_scored), "doc_id long, h long, logp double, n long").groupBy("doc_id", "h").agg(F.sum("logp").alias("logp"), F.sum("n").alias("n"))
     return sums.select("doc_id", "h", F.exp(-(F.col("logp") + PRIOR * mean) / (F.col("n") + PRIOR)).alias("perplexity"))
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, tidy
 from .shingles import shingle_sets
 
 #: Most labelled rows used to fit, by class.
@@ -352,4 +352,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
             x = np.array([m.features(t) for t in batch.column(at).to_pylist()], dtype=float).reshape(-1, 5)
             yield batch.filter(pa.array(probability(model, x) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 from .shingles import mix64, string_buffers, word_hashes
 
 #: Trusted words a shard should have.
@@ -82,7 +82,7 @@ class Plan:
 
 
 def plan_of(texts: DataFrame, scratch: Scratch) -> Plan | None:
-    found = texts.mapInArrow(_surveyed, "kind int, word long, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+    found = texts.mapInArrow(tidy(_surveyed), "kind int, word long, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
     found = scratch.table(found, "survey")
     words = found.where("kind = 0").agg(F.sum("n")).first()[0] or 0
     if not words:
@@ -313,9 +313,9 @@ def word_perplexities(docs: DataFrame, trusted: DataFrame, scratch: Scratch) ->
     marked = docs.join(ids, "doc_id", "left").select("doc_id", "h", F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
     tasks, done = max(2, 2 * plan.shards), None
     for turn in range(min(PASSES, plan.shards)):
-        grams = marked.mapInArrow(_packing(plan, turn), "shard int, kind int, batch long, grams binary")
-        parts = grams.repartition(tasks, "shard").sortWithinPartitions("shard", "kind", "batch").mapInArrow(_scoring(plan.base), "batch long, head boolean, sums binary")
-        whole = parts.repartition(tasks, "batch").sortWithinPartitions("batch", F.desc("head")).mapInArrow(_gathered, "doc_id long, h long, trusted boolean, words long, word_logp double")
+        grams = marked.mapInArrow(tidy(_packing(plan, turn)), "shard int, kind int, batch long, grams binary")
+        parts = grams.repartition(tasks, "shard").sortWithinPartitions("shard", "kind", "batch").mapInArrow(tidy(_scoring(plan.base)), "batch long, head boolean, sums binary")
+        whole = parts.repartition(tasks, "batch").sortWithinPartitions("batch", F.desc("head")).mapInArrow(tidy(_gathered), "doc_id long, h long, trusted boolean, words long, word_logp double")
         one = scratch.table(whole, f"word-sums-{turn}")
         done = one if done is None else done.unionByName(one)
     sums = done.groupBy("doc_id", "h").agg(F.max("trusted").alias("trusted"), F.sum("words").alias("words"), F.sum("word_logp").alias("word_logp")).where("words > 0")
