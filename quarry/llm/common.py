@@ -80,10 +80,31 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def tidy(run):
-    """``run``, a map over Arrow batches, that hands free memory back when it ends: workers outlive their tasks."""
+_remembered: dict[str, dict] = {}
+
+
+def remembered(name: str) -> dict:
+    """What this process remembers from one task to the next for the maps that keep ``name``."""
+    return _remembered.setdefault(name, {})
+
+
+def forget(keep: str | None = None) -> None:
+    """Drop what this process remembers, but for ``keep``.
+
+    A map calls this by name: the module's own variables would travel with it as copies.
+    """
+    for name in [n for n in _remembered if n != keep]:
+        del _remembered[name]
+
+
+def tidy(run, keep: str | None = None):
+    """``run``, a map over Arrow batches, that hands free memory back when it ends: workers outlive their tasks.
+
+    What other maps left remembered in the worker goes before it begins, but for ``keep``.
+    """
 
     def tidied(batches):
+        forget(keep)
         try:
             yield from run(batches)
         finally:

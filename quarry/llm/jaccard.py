@@ -51,6 +51,8 @@ HOT_MOST = 1 << 19
 FIRST, CENTRES = 8, 3
 #: Sets of a key in a tile.
 TILE = 4096
+#: Bytes of bitmaps that are compared at once.
+COMPARED = 4 << 20
 #: Up to so many ids of candidates are broadcast to the texts, more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 #: Shingles counted at once in a task.
@@ -233,8 +235,9 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not same:
                 near &= tile[lo:b][None, :] != tile[a:b][:, None]
             i, j = np.nonzero(near)
-            for k in range(0, len(i), 1 << 16):
-                at, to = i[k : k + (1 << 16)] + a - lo, j[k : k + (1 << 16)]
+            step = min(1 << 16, max(1, COMPARED // len(bits[lo])))  # the smallest one, to which the others fold
+            for k in range(0, len(i), step):
+                at, to = i[k : k + step] + a - lo, j[k : k + step]
                 good = np.flatnonzero(allowed(n[lo:b], bits[lo:b], at, to))
                 fresh = [earlier(x).isdisjoint(earlier(y)) for x, y in zip((at[good] + lo).tolist(), (to[good] + lo).tolist())]
                 good = good[np.array(fresh, bool)]

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare, tidy
+from .common import Scratch, prepare, remembered, tidy
 from .shingles import CASED_VALUE, FOLDED_VALUE, mix64, piece_words, space_cuts, string_buffers
 
 WINDOW = 4096
@@ -258,14 +258,16 @@ class WordTokenizer:
             row = end
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+#: Name under which a process remembers its tokenizers.
+TOKENIZERS = "tokenizers"
 
 
 def tokenizer_for(path: str) -> WordTokenizer:
-    """The tokenizer of this process; it outlives a task."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    """The tokenizer of this process; it outlives a task, until the process runs a map of another kind."""
+    held = remembered(TOKENIZERS)
+    if path not in held:
+        held[path] = WordTokenizer(path)
+    return held[path]
 
 
 def _tokenised(path: str):
@@ -526,7 +528,6 @@ class ShardIndex:
 def _packed(corpus: Corpus):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, tokens, crcs, terms), all of a shard -> pieces."""
-        _tokenizers.clear()  # what a worker remembers from the stage before makes room
         shard = Shard(TaskContext.get().partitionId(), corpus)
         held = [doc for batch in batches for doc in zip(*(c.to_pylist() for c in batch.columns))]
         if held:
@@ -541,7 +542,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer_pat
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    tokenised = rows.mapInArrow(tidy(_tokenised(tokenizer_path or default_tokenizer())), "doc_id long, key binary, tokens long, crcs binary, terms binary")
+    tokenised = rows.mapInArrow(tidy(_tokenised(tokenizer_path or default_tokenizer()), TOKENIZERS), "doc_id long, key binary, tokens long, crcs binary, terms binary")
     tokenised = Scratch(docs.sparkSession, "packing").table(tokenised, "tokenised")
     corpus = corpus_of(tokenised)
     shards = max(1, -(-corpus.n // SHARD_DOCS), -(-int(corpus.df.sum()) // SHARD_TERMS))  # as few as their indexes allow

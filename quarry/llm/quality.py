@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, free_name, prepare, tidy, without
-from .shingles import _BASE, _INVERSE, _power_table, mix64
+from .shingles import mix64, run_hashes
 from .wordmodel import word_perplexities
 
 #: Quantile of the trusted perplexities of a language, and the factor over it.
@@ -72,9 +72,7 @@ def symbols(text: str) -> np.ndarray:
     if len(starts) < 2:
         return found
     n = len(points)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix64(points.astype(np.uint64) + np.uint64(7)) * _power_table(_BASE, n)[:n], out=sums[1:])
-    words = (sums[ends] - sums[starts]) * _power_table(_INVERSE, n)[starts]
+    words = run_hashes(lambda a, b: mix64(points[a:b].astype(np.uint64) + np.uint64(7)), starts, ends)
     bounds = np.concatenate([[0], np.cumsum(found == BOUNDARY)])
     again = np.flatnonzero((words[1:] == words[:-1]) & (bounds[starts[1:]] == bounds[starts[:-1]])) + 1
     if not len(again):

@@ -4,19 +4,22 @@ A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]`` after A-Z are
 lower-cased.  All work is done on the raw UTF-8 bytes: word boundaries come from
 a byte table, word hashes from prefix sums of a polynomial over random byte
 values (mod 2**64), shingle hashes from a multiply-add over five word hashes.
-Texts are taken in pieces of bounded size cut at white space, so memory does not
-follow the longest text (only its word hashes, eight bytes a word, are held).
+Texts are taken in pieces of bounded size cut at white space, and their prefix sums
+in blocks of words, so memory does not follow the longest text (only its word hashes,
+eight bytes a word, are held).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SHINGLE_WORDS = 5
 PIECE_BYTES = 1 << 21
+#: Bytes whose prefix sums are held at once; a longer word takes as much as it needs.
+BLOCK_BYTES = 1 << 17
 
 _rng = np.random.default_rng(20240607)
 _BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -47,15 +50,35 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def _power_table(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, PIECE_BYTES + 64)
+        size = max(n, BLOCK_BYTES)
         table = np.full(size, base, dtype=np.uint64)
         table[0] = 1
         have = np.multiply.accumulate(table)
-        if n <= PIECE_BYTES + 64:
+        if n <= BLOCK_BYTES:
             _powers[base] = have
     return have
 
 
+def run_hashes(values: Callable[[int, int], np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomials over the values of runs that follow each other; ``values`` gives those between two places.
+
+    Blocks of runs are taken one by one, as the polynomial of a run does not depend on its place.
+    """
+    out = np.empty(len(starts), np.uint64)
+    k = 0
+    while k < len(starts):
+        lo = int(starts[k])
+        stop = max(k + 1, int(np.searchsorted(ends, lo + BLOCK_BYTES, "right")))
+        first, last = starts[k:stop] - lo, ends[k:stop] - lo
+        n = int(last[-1])
+        sums = np.empty(n + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(values(lo, lo + n) * _power_table(_BASE, n)[:n], out=sums[1:])
+        out[k:stop] = (sums[last] - sums[first]) * _power_table(_INVERSE, n)[first]
+        k = stop
+    return out
+
+
 def piece_words(data: np.ndarray, cuts: np.ndarray, values: np.ndarray = _BYTE_VALUE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of ``data`` with the start and end byte of each; words end at ``cuts`` too."""
     n = len(data)
@@ -71,11 +94,9 @@ def piece_words(data: np.ndarray, cuts: np.ndarray, values: np.ndarray = _BYTE_V
     last[:-1] &= ~solid[1:]
     last[inner - 1] |= solid[inner - 1]
     ends = np.flatnonzero(last) + 1
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(values[data] * _power_table(_BASE, n)[:n], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * _power_table(_INVERSE, n)[starts]
-    return mix64(raw + (ends - starts).astype(np.uint64) * _STEP), starts, ends
+    raw = run_hashes(lambda a, b: values[data[a:b]], starts, ends)
+    hashes = mix64(raw + (ends - starts).astype(np.uint64) * _STEP)
+    return hashes, starts, ends
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
