@@ -375,6 +375,13 @@ def over(*names: str) -> str:
 def order_entry_new_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order of two lines: the district counts up, stock goes down, order, lines and open order are added."""
     db = order_entry(spark, sf_dir, "district", "orders", "new_orders", "order_line", "stock", "customer", "item")
+    # what the tables hold under the order's key, and held before: a large enough folder has an order of that number
+    entered = (
+        "select 'orders' as what, o_id as a, o_ol_cnt as b from orders where o_w_id = 1 and o_d_id = 2 and o_id = 900001"
+        " union all select 'new', no_o_id, no_d_id from new_orders where no_w_id = 1 and no_d_id = 2 and no_o_id = 900001"
+        " union all select 'line', ol_i_id, ol_amount from order_line where ol_w_id = 1 and ol_d_id = 2 and ol_o_id = 900001"
+    )
+    before = db.sql(entered)
     execute(db, "begin; select d_next_o_id from district where d_w_id = 1 and d_id = 2; update district set d_next_o_id = d_next_o_id + 1 where d_w_id = 1 and d_id = 2")
     execute(db, "insert into orders values (1, 2, 900001, 5, NULL, 2); insert into new_orders values (1, 2, 900001)")
     for number, item in enumerate((11, 12), 1):
@@ -382,10 +389,9 @@ def order_entry_new_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         db.execute(f"update stock set s_quantity = case when s_quantity > 15 then s_quantity - 5 else s_quantity + 86 end, s_order_cnt = s_order_cnt + 1 where s_w_id = 1 and s_i_id = {item}")
     db.execute("commit")
     return db.sql(
-        "select 'district' as what, d_id as a, d_next_o_id as b from district union all select 'orders', o_id, o_ol_cnt from orders where o_id > 900000"
-        " union all select 'new', no_o_id, no_d_id from new_orders where no_o_id > 900000 union all select 'line', ol_i_id, ol_amount from order_line where ol_o_id > 900000"
+        "select 'district' as what, d_id as a, d_next_o_id as b from district"
         " union all select 'stock', s_i_id, s_quantity from stock where s_i_id < 20 union all select 'customer', c_id, c_balance from customer where c_id = 5"
-    )
+    ).unionAll(db.sql(entered).exceptAll(before))
 
 
 @script(

@@ -64,3 +64,21 @@ def test_whole_sorts(spark, duck, name, table):
     got = [tuple(map(_norm, r)) for r in df.collect()]
     assert len(got) == spark.read.parquet(f"{SF}/{table}.parquet").count()
     assert got == [tuple(map(_norm, r)) for r in duck.execute(f"select {', '.join(df.columns)} from ({ORACLE_SQL[name]})").fetchall()]
+
+
+def test_new_order_among_higher_numbers(spark, tmp_path):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create table {t} as select * from '{SF}/{t}.parquet'")
+    # numbers on both sides of the new order's, which is taken in its own district too, by an open order of like lines
+    con.execute("update nation set n_regionkey = 1 where n_nationkey = 2")
+    con.execute("update orders set o_orderkey = o_orderkey + 899900")
+    con.execute("update lineitem set l_orderkey = l_orderkey + 899900")
+    con.execute("update orders set o_orderstatus = 'O', o_custkey = (select min(c_custkey) from customer where c_nationkey = 2) where o_orderkey = 900001")
+    con.execute("update lineitem set l_partkey = 11, l_extendedprice = (select floor(p_retailprice) * 5 from part where p_partkey = 11) where l_orderkey = 900001")
+    for t in TABLES:
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet'")
+    assert con.execute("select count(*) from orders join customer on o_custkey = c_custkey where o_orderkey = 900001 and c_nationkey = 2").fetchone() == (1,)
+    got = QUERIES["order_entry_new_order"](spark, str(tmp_path))
+    want = con.execute(f"select what, a, b from ({ORACLE_SQL['order_entry_new_order']})").fetchall()
+    assert sorted(map(tuple, got.select("what", "a", "b").collect())) == sorted(want)
