@@ -127,6 +127,50 @@ def _set_frame(bound: BoundSet, frame_of: Callable[[Source], DataFrame], hint: s
     return _rows(made.orderBy(*keys) if keys else made, operation.limit, operation.offset)
 
 
+def _tables(node: ast.Node) -> set[str]:
+    return {n.table for n in walk(node) if isinstance(n, ast.Col)}
+
+
+#: Types of numbers that keep their order when Spark converts one to another to compare them.
+_ORDERED = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+
+
+def _compared(left: DataFrame, right: DataFrame, node: ast.Node, own: set[str], make: Expressions) -> ast.Node | None:
+    """What a comparison other than equality takes from ``right``, whose sources are ``own``; None for other conditions."""
+    if not isinstance(node, ast.Binary) or node.op not in ("<>", "<", ">", "<=", ">="):
+        return None
+    inner, outer = (node.left, node.right) if _tables(node.left) & own else (node.right, node.left)
+    if not _tables(inner) <= own or _tables(outer) & own:
+        return None
+    (_, a), (_, b) = left.select(make(outer)).dtypes + right.select(make(inner)).dtypes
+    return inner if a == b or {a, b} <= _ORDERED else None
+
+
+def _half_join(left: DataFrame, right: DataFrame, tests: list[ast.Node], own: set[str], make: Expressions, how: str) -> DataFrame:
+    """The semi or anti join with ``right``, whose sources are ``own``.
+
+    Without an equality Spark compares each row with all of ``right``.  Where at most one
+    comparison relates the sides, one row stands for ``right``: any, or its least and greatest values.
+    """
+    both = [c for c in tests if _tables(c) & own and _tables(c) - own]
+    value = _compared(left, right, both[0], own, make) if len(both) == 1 else None
+    if both and value is None:
+        columns = [make(c) for c in tests]
+    else:
+        for c in tests:
+            right = right.where(make(c)) if _tables(c) and _tables(c) <= own else right
+        columns = [make(c) for c in tests if not _tables(c) & own]
+        if value is None:
+            right = right.limit(1)
+        else:  # what holds for some value holds for one of the ends
+            right = right.agg(F.min(make(value)).alias("least·0"), F.max(make(value)).alias("greatest·0"))
+            columns.append(Expressions(make.scope, {value: "least·0"})(both[0]) | Expressions(make.scope, {value: "greatest·0"})(both[0]))
+    test = columns[0] if columns else F.lit(True)
+    for c in columns[1:]:
+        test = test & c
+    return left.join(right, test, how)
+
+
 def _is_inside(node: ast.Node) -> bool:
     return isinstance(node, ast.InSelect) or isinstance(node, ast.Unary) and node.op == "NOT" and isinstance(node.arg, ast.InSelect)
 
@@ -162,12 +206,13 @@ def _matched(made: DataFrame, node: ast.Node, scope: Scope, frame_of: Callable[[
     if node.arg is None and not outer:
         return made.join(right.limit(1), F.lit(True), "left_anti" if negated else "left_semi")
     make = Expressions(Scope(scope.sources, (*query.sources, *scope.outer)) if outer else scope)
+    if node.arg is None:
+        return _half_join(made, right, outer, own, make, "left_anti" if negated else "left_semi")
     tests = [make(c) for c in outer]
-    if node.arg is not None:
-        same = make(node.arg) == F.col("`in·0`")
-        if negated and not outer:  # a NULL on either side leaves it open whether the value is among them
-            made = made.join(right.where("`in·0` IS NULL").limit(1), F.lit(True), "left_anti").join(right.limit(1), make(node.arg).isNull(), "left_anti")
-        tests.append(same | same.isNull() if negated and outer else same)
+    same = make(node.arg) == F.col("`in·0`")
+    if negated and not outer:  # a NULL on either side leaves it open whether the value is among them
+        made = made.join(right.where("`in·0` IS NULL").limit(1), F.lit(True), "left_anti").join(right.limit(1), make(node.arg).isNull(), "left_anti")
+    tests.append(same | same.isNull() if negated and outer else same)
     test = tests[0]
     for t in tests[1:]:
         test = test & t
@@ -187,26 +232,25 @@ def to_frame(bound: BoundSelect | BoundSet, frame_of: Callable[[Source], DataFra
     inside = [c for c in conjuncts(select.where) if _is_inside(c)]
     pooled = [c for c in conjuncts(select.where) if not _is_inside(c)] + [c for j in select.joins if j.how == "inner" and not outer for c in conjuncts(j.on)]
 
-    def tables(node: ast.Node) -> set[str]:
-        return {n.table for n in walk(node) if isinstance(n, ast.Col)}
-
     for join, source in zip(select.joins, bound.sources[1:]):
         right = scan(frame_of(source), source)
         on = conjuncts(join.on) if join.how != "inner" or outer else []
         if join.how == "inner" and not outer:
-            on = [c for c in pooled if source.name in tables(c) and tables(c) <= have | {source.name} and len(tables(c)) > 1]
+            on = [c for c in pooled if source.name in _tables(c) and _tables(c) <= have | {source.name} and len(_tables(c)) > 1]
             pooled = [c for c in pooled if not any(c is x for x in on)]
         if hint and any(isinstance(c, ast.Binary) and c.op == "=" for c in on):
             right = right.hint(hint)
-        if on:
+        if join.how == "semi":
+            made = _half_join(made, right, on, {source.name}, make, "left_semi")
+        elif on:
             test = make(on[0])
             for c in on[1:]:
                 test = test & make(c)
-            made = made.join(right, test, {"semi": "left_semi"}.get(join.how, join.how))
+            made = made.join(right, test, join.how)
         elif join.how == "inner":
             made = made.crossJoin(right)
         else:
-            made = made.join(right, F.lit(True), {"semi": "left_semi"}.get(join.how, join.how))
+            made = made.join(right, F.lit(True), join.how)
         if join.how != "semi":
             have.add(source.name)
     for c in pooled:

@@ -82,3 +82,28 @@ def test_new_order_among_higher_numbers(spark, tmp_path):
     got = QUERIES["order_entry_new_order"](spark, str(tmp_path))
     want = con.execute(f"select what, a, b from ({ORACLE_SQL['order_entry_new_order']})").fetchall()
     assert sorted(map(tuple, got.select("what", "a", "b").collect())) == sorted(want)
+
+
+def test_one_row_stands_for_the_right_of_a_theta_semi_join(spark, duck):
+    from quarry.session import select_frames
+
+    nan = float("nan")
+    left = [(k, v, w) for k, (v, w) in enumerate([(None, 1), (-1.5, 2), (0.0, None), (2.0, 4), (2.5, 5), (nan, 6), (3.0, 7)])]
+    rights = {"some": [(1, 2.0), (2, None), (3, 2.0), (None, -1.0), (5, nan)], "one": [(2, 2.5)], "open": [(1, None), (2, None)], "none": []}
+    tests = [t.format(op) for op in ("<", "<=", ">", ">=", "<>") for t in ("a.v {} b.x", "b.k {} a.w", "a.w {} b.x + 1", "a.v {} b.x and a.w > 2 and b.k < 5")]
+    tests += ["a.w > 4", "b.k > 2", "b.k = a.k and a.v < b.x", "a.v > b.x and a.w > b.k"]
+    for name, rows in rights.items():
+        frames = {"a": spark.createDataFrame(left, "k int, v double, w int"), "b": spark.createDataFrame(rows, "k int, x double")}
+        for t, frame in frames.items():
+            duck.register(t, frame.toArrow())
+        for n, test in enumerate(tests):
+            forms = [f"from a semi join b on {test}", f"from a where exists (select * from b where {test})", f"from a where not exists (select * from b where {test})"]
+            for form in forms[:1] if n % 4 else forms:
+                got = select_frames(f"select a.k {form}", frames.get)
+                assert sorted(map(tuple, got.collect())) == sorted(duck.execute(f"select a.k {form}").fetchall()), (name, form)
+    plans = [select_frames(f"select a.k {form}", frames.get) for form in ("from a semi join b on a.v > b.x", "from a where not exists (select * from b where a.v > b.x)")]
+    for frame in (*plans, QUERIES["semi_join_theta"](spark, SF)):
+        assert "HashAggregate(keys=[], functions=[min(" in _plan(frame)
+    # texts that are compared as dates have another order than as texts
+    frames = {"a": spark.sql("select 1 as k, date '2020-06-01' as v"), "b": spark.createDataFrame([("2020-1-1",), ("2020-07-01",), ("2021-01-01",)], "x string")}
+    assert select_frames("select a.k from a semi join b on a.v > b.x", frames.get).count() == 1
